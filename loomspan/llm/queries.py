@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import overlap
+from loomspan.llm import mixing, overlap, skeleton, tokenize
 from loomspan.llm.topn import latest_rows, top_n
 from loomspan.plans.registry import Registry
+from loomspan.session import written
 from loomspan.sources.tables import table
 
 R = Registry()
@@ -73,3 +74,48 @@ where a.kind = 'r' and a.split in ('valid', 'test') and b.kind = 's' and b.split
 def p3_tasks(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps by task id alone."""
     return overlap.task_pairs(table(spark, d, "build_sft"), table(spark, d, "results"))
+
+
+@R.query("p6_ids")
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.encode(table(spark, d, "documents"), ["doc_id"], "text")
+
+
+@R.query("p6_counts")
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.count_tokens(table(spark, d, "documents"), ["doc_id"], "text")
+
+
+def sized(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, n_tokens, weight) of documents, counted once and written."""
+    rows = documents.select("doc_id", mixing.source_name(F.col("source")).alias("source"), F.length("text").alias("n_chars"), "text")
+    counted = tokenize.count_tokens(rows, ["doc_id", "source", "n_chars"], "text")
+    weight = F.when(F.col("n_tokens") > 0, mixing.quality(F.col("n_chars"), F.col("n_tokens")))
+    return written(counted.select("doc_id", "source", "n_tokens", weight.alias("weight")), "sized")
+
+
+@R.query("p7_mixed")
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+@R.query("p7_shares")
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+
+
+@R.query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = skeleton.look_alike_pairs(table(spark, d, "documents"), "doc_id", "text")
+    return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+
+
+@R.query("p8_forms")
+def p8_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent form of every text."""
+    return skeleton.skeletons(table(spark, d, "documents"), "doc_id", "text")
+
+
+@R.query("p8_groups")
+def p8_groups(spark: SparkSession, d: str) -> DataFrame:
+    return skeleton.groups(table(spark, d, "documents"), "doc_id", "text")
