@@ -1,3 +1,3 @@
-from loomspan.plans import nested_files
+from loomspan.plans import nested_files, sequences
 
-CORE = [nested_files.R]
+CORE = [nested_files.R, sequences.R]
