@@ -1,3 +1,3 @@
-from loomspan.plans import nested_files, sequences
+from loomspan.plans import graphs, nested_files, sequences
 
-CORE = [nested_files.R, sequences.R]
+CORE = [nested_files.R, sequences.R, graphs.R]
