@@ -1,3 +1,3 @@
-from loomspan.plans import graphs, nested_files, sequences
+from loomspan.plans import graphs, nested_files, reconciliation, sequences
 
-CORE = [nested_files.R, sequences.R, graphs.R]
+CORE = [nested_files.R, sequences.R, graphs.R, reconciliation.R]
