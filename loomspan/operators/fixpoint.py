@@ -74,13 +74,13 @@ def resolve(pointers: DataFrame, limit: int = 64) -> tuple[DataFrame, DataFrame]
     A chain of n pointers takes log2 n doublings; a pointer that still doesn't rest after as many doublings as
     there are bits in the number of pointers is caught in a cycle.
     """
+    own = pointers.select("g", F.col("v").alias("p"), (F.col("p") == F.col("v")).alias("rests"))  # a doubled pointer can also end at itself on a cycle
     size = pointers.count()
     doublings, done = max(size, 1).bit_length() + 1, 0
     while done < min(doublings, limit):
         step = min(3, doublings - done)
         pointers, done = written(pointer_jump(pointers, step), "pointers"), done + step
-    roots = pointers.select("g", F.col("v").alias("p"), (F.col("p") == F.col("v")).alias("rests"))
-    state = pointers.join(roots, ["g", "p"])
+    state = pointers.join(own, ["g", "p"])
     return state.where("rests").select("g", "v", F.col("p").alias("root")), state.where("not rests").select("g", "v")
 
 

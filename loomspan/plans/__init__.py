@@ -1,3 +1,3 @@
-from loomspan.plans import graphs, nested_files, reconciliation, sequences
+from loomspan.plans import graphs, nested_files, reconciliation, sequences, trees
 
-CORE = [nested_files.R, sequences.R, graphs.R, reconciliation.R]
+CORE = [nested_files.R, sequences.R, graphs.R, reconciliation.R, trees.R]
