@@ -87,8 +87,8 @@ def _select(t: J.Tokens, values: np.ndarray, child: Child, columns: list[str]) -
             links[step.column] = number
         else:
             if step.anywhere:
-                lists = inner[t.kind[inner] == J.ARR]
-                list_owner = owner[t.kind[inner] == J.ARR]
+                named = (t.kind[inner] == J.ARR) & (t.key[inner] >= 0)
+                lists, list_owner = inner[named], owner[named]
                 inner, second = _members(t, values, lists)
                 owner, lone = list_owner[second], np.zeros(0, np.int64)
             else:
