@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,21 +16,27 @@ from loomspan.session import written
 
 #: Rounds planned into one job.
 ROUNDS = 3
+#: Edges that a task contracts at once.
+CHUNK = 1 << 19
 
 
 class NoFixpoint(RuntimeError):
     """The limit of rounds was reached."""
 
 
-def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = 10_000, rounds: int = ROUNDS) -> DataFrame:
-    """state with a boolean column `fresh`, stepped until no row is fresh. Raises NoFixpoint beyond limit rounds."""
+def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = 10_000, rounds: int = ROUNDS, quick: bool = False) -> DataFrame:
+    """state with a boolean column `fresh`, stepped until no row is fresh. Raises NoFixpoint beyond limit rounds.
+
+    quick: the first job has one round alone, where most likely nothing changes.
+    """
     state, done = written(state, "state"), 0
     while not state.where("fresh").isEmpty():
         if done >= limit:
             raise NoFixpoint(f"still changing after {done} rounds")
-        for _ in range(min(rounds, limit - done)):
+        now = min(rounds if done or not quick else 1, limit - done)
+        for _ in range(now):
             state = step(state)
-        done += rounds
+        done += now
         state = written(state, "state")
     return state.drop("fresh")
 
@@ -84,21 +91,66 @@ def resolve(pointers: DataFrame, limit: int = 64) -> tuple[DataFrame, DataFrame]
     return state.where("rests").select("g", "v", F.col("p").alias("root")), state.where("not rests").select("g", "v")
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """(g, u, v): edges with the same components, at most one for each vertex of a chunk: each vertex to the least one that the chunk's edges join it with.
+
+    Edges come together by g (a partition that grows too large is split); a task works through them in chunks of CHUNK edges by union-find, so that a graph of any size costs
+    bounded memory. A graph within a chunk is done with; chunks of a larger one are joined by the loop that follows.
+    """
+
+    def forest(u: list, v: list, g: list) -> pa.RecordBatch:
+        parent: dict[tuple, tuple] = {}
+        for a, b in zip(zip(g, u), zip(g, v)):
+            for x in (a, b):
+                parent.setdefault(x, x)
+            while parent[a] != a:
+                parent[a] = a = parent[parent[a]]
+            while parent[b] != b:
+                parent[b] = b = parent[parent[b]]
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        out = []
+        for x in sorted(parent):  # a parent is never larger, so it is settled before
+            parent[x] = parent[parent[x]]
+            if parent[x] != x:
+                out.append((x[0], parent[x][1], x[1]))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out) if out else ((), (), ()))], names=["g", "u", "v"])
+
+    def run(batches):  # noqa: ANN001, ANN202
+        held: tuple[list, list, list] = ([], [], [])
+        for batch in batches:
+            for name, rows in zip(("u", "v", "g"), held):
+                rows.extend(batch.column(name).to_pylist())
+            if len(held[0]) >= CHUNK:
+                yield forest(*held)
+                held = ([], [], [])
+        if held[0]:
+            yield forest(*held)
+
+    rows = edges.where("u <> v").select(*[F.col(c).cast("bigint").alias(c) for c in ("g", "u", "v")])
+    return rows.hint("rebalance", "g").mapInArrow(run, "g bigint, u bigint, v bigint")
+
+
 def components(vertices: DataFrame, edges: DataFrame, largest: bool = False) -> DataFrame:
     """(g, v, label): the least (or largest) id of each vertex's connected component; edges (g, u, v) count both ways.
 
-    Labels pass along edges and through the labels themselves, so that paths shorten by half each round.
+    Edges are contracted by chunks first. Then labels pass along what is left and through the labels themselves, so that
+    paths shorten by half each round.
     """
-    both = edges.select("g", "u", "v").unionByName(edges.select("g", F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
-    both = written(both, "edges")
-    best, pick = (F.max, F.greatest) if largest else (F.min, F.least)
+    stars = written(contracted(edges), "stars")
+    both = stars.unionByName(stars.select("g", F.col("v").alias("u"), F.col("u").alias("v")))
 
     def step(state: DataFrame) -> DataFrame:
-        seen = state.select("g", F.col("v").alias("u"), F.col("label").alias("offer"))
-        offers = both.join(seen, ["g", "u"]).groupBy("g", "v").agg(best("offer").alias("offer"))
-        hooked = state.join(offers, ["g", "v"], "left").select("g", "v", "label", pick("label", F.coalesce("offer", "label")).alias("hook"))
-        onward = hooked.select("g", F.col("v").alias("hook"), F.col("hook").alias("next"))
-        return hooked.join(onward, ["g", "hook"]).select("g", "v", pick("hook", "next").alias("new"), "label").select("g", "v", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("fresh"))
-
-    start = vertices.select("g", "v", F.col("v").alias("label"), F.lit(True).alias("fresh"))
-    return fixpoint(start, step)
+        seen = state.select("g", F.col("v").alias("u"), F.col("label"))
+        offers = both.join(seen, ["g", "u"]).select("g", "v", "label", F.lit(None).cast("bigint").alias("old"))
+        merged = state.select("g", "v", "label", F.col("label").alias("old")).unionByName(offers).groupBy("g", "v").agg(F.min("label").alias("hook"), F.min("old").alias("old")).where("old is not null")
+        onward = merged.select("g", F.col("v").alias("hook"), F.col("hook").alias("next"))
+        return merged.join(onward, ["g", "hook"]).select("g", "v", F.col("next").alias("label"), (F.col("next") != F.col("old")).alias("fresh"))
+
+    least = stars.groupBy("g", "v").agg(F.min("u").alias("to"))
+    start = vertices.select("g", "v").join(least, ["g", "v"], "left").select("g", "v", F.coalesce("to", "v").alias("label"), F.lit(True).alias("fresh"))
+    found = fixpoint(start, step, quick=True)
+    if not largest:
+        return found
+    top = found.groupBy("g", "label").agg(F.max("v").alias("top"))
+    return found.join(top, ["g", "label"]).select("g", "v", F.col("top").alias("label"))

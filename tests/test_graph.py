@@ -223,3 +223,18 @@ def test_constrained_merging(spark, cap):
         skipped[x.g].append((x.u, x.v))
     for g, (ps, ws) in cases.items():
         assert (got[g], sorted(skipped[g])) == greedy(ps, ws, cap)
+
+
+@pytest.mark.parametrize("chunk", [1, 7])
+def test_components_over_chunks(spark, monkeypatch, chunk):
+    """One long path and one hub, in more chunks than a task holds."""
+    from loomspan.operators import fixpoint as fx
+
+    monkeypatch.setattr(fx, "CHUNK", chunk)
+    order = list(range(40))
+    random.Random(1).shuffle(order)
+    edges = [(1, a, b) for a, b in zip(order, order[1:])] + [(2, 99, x) for x in range(20)] + [(2, 50, 50)]
+    e = spark.createDataFrame(edges, "g bigint, u bigint, v bigint")
+    v = spark.createDataFrame([(1, x) for x in order] + [(2, x) for x in [*range(20), 50, 99]], "g bigint, v bigint")
+    assert {tuple(r) for r in components(v, e).collect()} == {(1, x, 0) for x in order} | {(2, x, 0) for x in [*range(20), 99]} | {(2, 50, 50)}
+    assert {tuple(r) for r in components(v, e, largest=True).collect()} == {(1, x, 39) for x in order} | {(2, x, 99) for x in [*range(20), 99]} | {(2, 50, 50)}
