@@ -13,12 +13,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.operators import json_index as J
+from loomspan.session import written
 from loomspan.sources.tables import map_arrow
 
 #: A batch has a field if one in SHARE of its readable records holds it.
 SHARE = 5
 
 
+def _top_fields(t: J.Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of whole objects, and of the values that are their fields."""
+    if not len(t.kind):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    top = np.flatnonzero((t.kind == J.OBJ) & (t.container < 0) & t.valid[t.doc])
+    place = np.zeros(len(t.kind) + 1, bool)
+    place[top] = True
+    return top, np.flatnonzero(t.is_value & place[t.container] & (t.container >= 0))
+
+
+def _kinds(t: J.Tokens, at: np.ndarray) -> pa.Array:
+    names, codes = np.unique(J.type_names(t, at), return_inverse=True)
+    return pa.array(names.tolist(), pa.string()).take(pa.array(codes))
+
+
 def fields(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     """(ids..., field, kind, value): a row for each top-level field of each readable record; value is its JSON text, without a string's quotes.
 
@@ -29,15 +45,12 @@ def fields(df: DataFrame, ids: list[str], text: str) -> DataFrame:
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         t = J.index(batch.column("__text"))
-        if not len(t.kind):
+        top, at = _top_fields(t)
+        if not len(top):
             return None
-        top = np.flatnonzero((t.kind == J.OBJ) & (t.container < 0) & t.valid[t.doc])
-        place = np.zeros(len(t.kind) + 1, bool)
-        place[top] = True
-        at = np.flatnonzero(t.is_value & place[t.container] & (t.container >= 0))
         names = J.gather(t.data, t.start[t.key[at]] + 1, t.end[t.key[at]] - 1)
         values = J.gather(t.data, *J.inner_spans(t, at))
-        types = pa.array(J.type_names(t, at).tolist(), pa.string())
+        types = _kinds(t, at)
         rows = pa.array(np.concatenate([t.doc[top], t.doc[at]]))
         none = pa.nulls(len(top), pa.string())
         columns = [batch.column(c).take(rows) for c in ids]
@@ -48,9 +61,31 @@ def fields(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     return map_arrow(df.select(*ids, F.col(text).alias("__text")), "__text", one, schema)
 
 
-def union_types(found: DataFrame, batch: list[str]) -> DataFrame:
+def type_counts(df: DataFrame, batch: list[str], text: str) -> DataFrame:
+    """(batch..., field, kind, n): how often each alternative occurs, counted within each Arrow batch already; field and kind are null for the records themselves."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    names = [*batch, "field", "kind"]
+
+    def one(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        t = J.index(rows.column("__text"))
+        top, at = _top_fields(t)
+        if not len(top):
+            return None
+        found = J.gather(t.data, t.start[t.key[at]] + 1, t.end[t.key[at]] - 1)
+        place = pa.array(np.concatenate([t.doc[top], t.doc[at]]))
+        none = pa.nulls(len(top), pa.string())
+        columns = [rows.column(c).take(place) for c in batch] + [pa.concat_arrays([none, x]) for x in (found, _kinds(t, at))]
+        counted = pa.table(columns, names=names).group_by(names).aggregate([([], "count_all")]).combine_chunks()
+        return pa.RecordBatch.from_arrays([counted.column(c).chunk(0) for c in [*names, "count_all"]], names=[*names, "n"])
+
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in batch] + ["field string, kind string, n bigint"])
+    counts = map_arrow(df.select(*batch, F.col(text).alias("__text")), "__text", one, schema)
+    return counts.groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def union_types(df: DataFrame, batch: list[str], text: str) -> DataFrame:
     """(batch..., field, kind, n, n_objects, n_held): alternatives of each field in each batch, of all records."""
-    counts = found.groupBy(*batch, "field", "kind").agg(F.count(F.lit(1)).alias("n"))
+    counts = type_counts(df, batch, text)
     objects = F.max(F.when(F.col("field").isNull(), F.col("n"))).over(Window.partitionBy(*batch))
     held = F.sum("n").over(Window.partitionBy(*batch, "field"))
     return counts.withColumn("n_objects", objects).withColumn("n_held", held).where("field is not null")
@@ -74,9 +109,8 @@ def changes(df: DataFrame, shard: str, batch: str, record: str, text: str) -> Da
     of the same record id, at least one of them not null; of several candidates the one with most equal pairs, then the first by name. Rows with
     null shard or batch form no batch; a null record id is in no other batch.
     """
-    ids = [shard, batch, record]
-    found = fields(df.select(*ids, text), ids, text).where(F.col(shard).isNotNull() & F.col(batch).isNotNull())
-    types = union_types(found, [shard, batch])
+    df = df.where(F.col(shard).isNotNull() & F.col(batch).isNotNull())
+    types = written(union_types(df, [shard, batch], text), "types")
     schemas = batch_schemas(types, [shard, batch])
     batches = types.select(shard, batch).distinct()
     over = Window.partitionBy(shard).orderBy(batch)
@@ -88,13 +122,17 @@ def changes(df: DataFrame, shard: str, batch: str, record: str, text: str) -> Da
     diff = diff.where("now <> was or new <> old")
     gone = diff.where("was and not now").select(shard, "batch", "before", F.col("field").alias("gone"))
     come = diff.where("now and not was").select(shard, "batch", F.col("field").alias("come"))
-    candidates = gone.join(come, [shard, "batch"])
-    # values of the candidate fields alone, in the two batches of each change
+    candidates = written(gone.join(come, [shard, "batch"]), "candidates")
+    # values of the candidate fields alone, in the two batches of each change; texts are gone through once for both
+    sides = candidates.select(shard, "batch", "gone", "come", F.explode(F.array(
+        F.struct(F.col("before").alias("b__"), F.col("gone").alias("field"), F.lit(0).alias("side")),
+        F.struct(F.col("batch").alias("b__"), F.col("come").alias("field"), F.lit(1).alias("side")))).alias("x")).select(shard, "batch", "gone", "come", "x.*")
     cell = F.xxhash64("kind", "value")
-    held = found.where(F.col("field").isNotNull() & F.col(record).isNotNull())
-    left = held.select(shard, F.col(batch).alias("before"), F.col("field").alias("gone"), F.col(record).alias("id"), cell.alias("a"), (F.col("kind") != "null").alias("solid"))
-    right = held.select(shard, F.col(batch).alias("batch"), F.col("field").alias("come"), F.col(record).alias("id"), cell.alias("b"))
-    pairs = candidates.join(left, [shard, "before", "gone"]).join(right, [shard, "batch", "come", "id"])
+    held = fields(df.where(F.col(record).isNotNull()).select(F.col(shard), F.col(batch).alias("b__"), F.col(record).alias("id"), text), [shard, "b__", "id"], text)
+    sided = written(held.where("field is not null").join(sides, [shard, "b__", "field"]).select(shard, "batch", "gone", "come", "side", "id", cell.alias("cell"), (F.col("kind") != "null").alias("solid")), "cells")
+    change = [shard, "batch", "gone", "come", "id"]
+    left = sided.where("side = 0").select(*change, F.col("cell").alias("a"), "solid")
+    pairs = left.join(sided.where("side = 1").select(*change, F.col("cell").alias("b")), change)
     same = F.col("a") == F.col("b")
     agreed = pairs.groupBy(shard, "batch", "gone", "come").agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("n_same"), F.count_if(same & F.col("solid")).alias("n_solid"))
     agreed = agreed.where("2 * n_same > n and n_solid > 0")

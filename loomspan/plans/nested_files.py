@@ -90,7 +90,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @R.query("p5_types")
 def p5_types(spark: SparkSession, d: str) -> DataFrame:
     """Alternatives of each field in each batch."""
-    return drift.union_types(drift.fields(table(spark, d, "state"), ["shard", "batch_no"], "metrics"), ["shard", "batch_no"])
+    return drift.union_types(table(spark, d, "state"), ["shard", "batch_no"], "metrics")
 
 
 @R.query("p5_table")
