@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.overlap import salted_pairs
+from loomspan.session import written
 from loomspan.sources.tables import pieces
 
 # Letters that look like Latin letters, by script, and those Latin letters.
@@ -104,7 +105,7 @@ def look_alike_pairs(df: DataFrame, ident: str, text: str) -> DataFrame:
     pairs of classes are spread over their rows without any task holding a group. Null texts take part in no
     pair; the empty text looks like one of characters without width alone.
     """
-    rows = signatures(df, ident, text)
+    rows = written(signatures(df, ident, text), "signatures")
     classes = rows.select("look", "body").distinct()
     shared = classes.groupBy("look").agg(F.min("body").alias("least"), F.max("body").alias("most")).where("least <> most").select("look")
     members = rows.join(shared, "look", "left_semi")
