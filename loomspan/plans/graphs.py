@@ -102,7 +102,7 @@ add("t3_scc_count", lambda c: graph.component_count(graph.strong_components(c.v,
 add("t3_cyclic_vertices", lambda c: graph.cyclic_vertices(graph.strong_components(c.v, c.a)), STRONG + " select g, cast(sum(case when n > 1 then n else 0 end) as bigint) as value from (select g, label, count(*) n from l group by all) group by g")
 add("t3_dag_longest", lambda c: graph.dag_longest(c.v, c.e), "k(g, v, d) as (select g, v, 0::bigint from vx union select q.g, x.v, q.d + 1 from k q join e x on q.g = x.g and q.v = x.u) select g, max(d) as value from k group by g")
 add("t3_tree_parents", lambda c: graph.tree_parents(c.v, graph.spanning_forest(c.v, c.e), c.s))
-add("t3_msf_weight", lambda c: graph.forest_weight(c.ids, graph.spanning_forest(c.v, c.e)), None)
+add("t3_msf_weight", lambda c: graph.forest_weight(c.ids, graph.spanning_forest(c.v, c.e)), "k(g, a, b, w, v) as (select g, u, v, w, u from e union select k.g, k.a, k.b, k.w, s.v from k join sy s on s.g = k.g and s.u = k.v where (s.w, least(s.u, s.v), greatest(s.u, s.v)) < (k.w, k.a, k.b)), f as (select distinct g, a, b from k where v = b) select n.g, coalesce((select cast(sum(w) as bigint) from e where e.g = n.g and (e.g, e.u, e.v) not in (select g, a, b from f)), 0) & 16777215 as value from n")
 
 # --- degrees and counts
 DEGREE = "dg as (select vx.g, vx.v, count(sy.u) d from vx left join sy on sy.g = vx.g and sy.v = vx.v group by all)"
@@ -130,15 +130,16 @@ def weakest(c: Case, f: Callable, best: Callable, empty: int) -> DataFrame:
 
 REST = "k(g, x, v, o) as (select vx.g, vx.v, o.v, o.v from vx join vx o on o.g = vx.g and o.v <> vx.v union select k.g, k.x, s.v, k.o from k join sy s on s.g = k.g and s.u = k.v where s.v <> k.x)"
 add("t3_articulation", lambda c: cut_counts(c, False), pairs("sy") + ", " + LABEL + ", " + REST + ", m as (select g, x, o, min(v) label from k group by all), z as (select g, x, count(distinct label) k from m group by all) select n.g, count(*) filter (z.k > (select count(distinct label) from l where l.g = n.g)) as value from n left join z using (g) group by n.g")
-add("t3_bridges", lambda c: cut_counts(c, True))
-add("t3_articulation_points", lambda c: kernels.by_group(c.parts, ["g", "label"], ["u", "v"], lambda es: [(v,) for v in kernels.cuts(es)[1]], "v bigint").select("g", "v"))
+AVOID = "k(g, a, b, w, v) as (select g, u, v, w, u from e union select k.g, k.a, k.b, k.w, s.v from k join sy s on s.g = k.g and s.u = k.v where {}) "
+add("t3_bridges", lambda c: cut_counts(c, True), AVOID.format("(least(s.u, s.v), greatest(s.u, s.v)) <> (k.a, k.b)") + ", f as (select distinct g, a, b from k where v = b) select n.g, (select count(*) from e where e.g = n.g) - (select count(*) from f where f.g = n.g) as value from n")
+add("t3_articulation_points", lambda c: kernels.by_group(c.parts, ["g", "label"], ["u", "v"], lambda es: [(v,) for v in kernels.cuts(es)[1]], "v bigint").select("g", "v"), pairs("sy") + ", " + LABEL + ", " + REST + ", m as (select g, x, o, min(v) label from k group by all), z as (select g, x, count(distinct label) k from m group by all) select z.g, z.x as v from z where z.k > (select count(distinct label) from l where l.g = z.g)")
 add("t3_topo_order", lambda c: kernels.by_group(c.v.select("g", F.lit(-1).cast("bigint").alias("u"), "v").unionByName(c.e.select("g", "u", "v")), ["g"], ["u", "v"], lambda rows: list(enumerate(kernels.topological([v for u, v in rows if u < 0], [r for r in rows if r[0] >= 0]))), "pos bigint, v bigint"))
 add("t3_bipartite_matching", lambda c: weakest(c_sides(c), kernels.matching, F.sum, 0))
 add("t3_greedy_coloring", lambda c: graph._all(c.v, kernels.by_group(c.parts, ["g", "label"], ["u", "v"], lambda es: list(kernels.first_fit(es).items()), "v bigint, colour bigint"), "colour", 0))
 add("t3_clique_number", lambda c: weakest(c, kernels.clique, F.max, 1), "q as (select g, 2 k from e union all select x.g, 3 from e x join e y on x.g = y.g and x.v = y.u join e z on z.g = x.g and z.u = x.u and z.v = y.v union all select x.g, 4 from e x join e y on x.g = y.g and x.v = y.u join e z on z.g = x.g and z.u = x.u and z.v = y.v join e p on p.g = x.g and p.u = x.u join e q2 on q2.g = x.g and q2.u = x.v and q2.v = p.v join e r on r.g = x.g and r.u = y.v and r.v = p.v) select n.g, coalesce(max(k), 1) as value from n left join q using (g) group by n.g")
 add("t3_forest_mis", lambda c: forest_mis(c))
 add("t3_mst_second", lambda c: weakest(c, lambda es: INF if (w := kernels.second_tree(es)) is None else w, F.max, INF))
-add("t3_girth", lambda c: weakest(c, kernels.girth, F.min, 0))
+add("t3_girth", lambda c: weakest(c, kernels.girth, F.min, 0), "r(g, a, b, v, d) using key (g, a, b, v) as (select g, u, v, u, 0::bigint from e union select x.g, r.a, r.b, x.v, min(r.d + 1) from r join sy x on r.g = x.g and r.v = x.u left join recurring.r o on o.g = x.g and o.a = r.a and o.b = r.b and o.v = x.v where (least(x.u, x.v), greatest(x.u, x.v)) <> (r.a, r.b) and (o.d is null or r.d + 1 < o.d) group by x.g, r.a, r.b, x.v) select n.g, coalesce(min(d) + 1, 0) as value from n left join r on r.g = n.g and r.v = r.b group by n.g")
 add("t3_max_flow", lambda c: kernels.by_group(c.a.join(c.st, "g"), ["g", "s", "t"], ["u", "v", "w"], lambda es: [(kernels.flow(es, 0, max(max(u, v) for u, v, _ in es)),)], "value bigint").select("g", wrap(F.col("value")).alias("value")))
 
 

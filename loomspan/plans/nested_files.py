@@ -82,12 +82,35 @@ def p4_files(spark: SparkSession, d: str) -> DataFrame:
     return compact.unpack(compact.compact(table(spark, d, "state_files"))).withColumn("content", F.col("content").cast("string"))
 
 
-@R.query("p5_found")
+P5_SQL = """
+with j as (select row_id, shard, batch_no, attempt_id, cast(metrics as json) m from state where json_valid(metrics) and json_type(metrics) = 'OBJECT'),
+f as (select row_id, shard, batch_no, attempt_id, k, json_extract(m, '$."' || k || '"') x from (select *, unnest(json_keys(m)) k from j)),
+v as (select *, case json_type(x) when 'VARCHAR' then 'string' when 'BIGINT' then 'integer' when 'UBIGINT' then 'integer' when 'DOUBLE' then 'number' else lower(json_type(x)) end kind from f),
+c as (select shard, batch_no, k, kind, count(*) n from v group by all),
+t as (select c.*, (select count(*) from j where j.shard = c.shard and j.batch_no = c.batch_no) n_objects, sum(n) over (partition by shard, batch_no, k) n_held from c),
+"""
+P5_FOUND_SQL = P5_SQL + """s as (select shard, batch_no, k, min_by(kind, (-n, kind)) filter (kind <> 'null') kind from t where n_held * 5 >= n_objects group by all),
+b as (select shard, batch_no, lag(batch_no) over (partition by shard order by batch_no) before from (select distinct shard, batch_no from j)),
+g as (select b.shard, b.batch_no, b.before, s.k, s.kind from b join s on s.shard = b.shard and s.batch_no = b.before),
+h as (select b.shard, b.batch_no, b.before, s.k, s.kind from b join s on s.shard = b.shard and s.batch_no = b.batch_no where before is not null),
+d as (select coalesce(g.shard, h.shard) shard, coalesce(g.batch_no, h.batch_no) batch_no, coalesce(g.before, h.before) before, coalesce(g.k, h.k) k, case when h.k is null then 'removed' when g.k is null then 'added' else 'retyped' end change
+  from g full join h on g.shard = h.shard and g.batch_no = h.batch_no and g.k = h.k where g.k is null or h.k is null or g.kind <> h.kind),
+p as (select x.shard, x.batch_no, x.k gone, y.k come, count(*) n, count(*) filter (o.x = w.x and o.kind = w.kind) same, count(*) filter (o.x = w.x and o.kind = w.kind and o.kind <> 'null') solid
+  from d x join d y on x.shard = y.shard and x.batch_no = y.batch_no and x.change = 'removed' and y.change = 'added'
+  join v o on o.shard = x.shard and o.batch_no = x.before and o.k = x.k join v w on w.shard = x.shard and w.batch_no = x.batch_no and w.k = y.k and w.attempt_id = o.attempt_id group by all having 2 * same > n and solid > 0),
+q as (select * from p qualify row_number() over (partition by shard, batch_no, come order by same desc, gone) = 1),
+r as (select * from q qualify row_number() over (partition by shard, batch_no, gone order by same desc, come) = 1)
+select d.shard, d.batch_no, d.k as field_name, case when exists (select 1 from r where r.shard = d.shard and r.batch_no = d.batch_no and r.come = d.k) then 'renamed' else change end as change_kind from d
+where not exists (select 1 from r where r.shard = d.shard and r.batch_no = d.batch_no and r.gone = d.k)
+"""
+
+
+@R.query("p5_found", P5_FOUND_SQL)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(table(spark, d, "state"), "shard", "batch_no", "attempt_id", "metrics")
 
 
-@R.query("p5_types")
+@R.query("p5_types", P5_SQL + "z as (select 1) select shard, batch_no, k as field, kind, n, n_objects, cast(n_held as bigint) as n_held from t")
 def p5_types(spark: SparkSession, d: str) -> DataFrame:
     """Alternatives of each field in each batch."""
     return drift.union_types(table(spark, d, "state"), ["shard", "batch_no"], "metrics")

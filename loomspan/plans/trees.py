@@ -54,9 +54,12 @@ add("t4_bst_kth", lambda n: tree.kth(n, key() * 9), "select t, coalesce(list(v o
 add("t4_bst_lca", lambda n: tree.lca(n, key() * 1000, key() * 1000 + 9000), "select t, min_by(v, length(path)) as value from nd where v between t % 7 * 1000 and t % 7 * 1000 + 9000 group by t")
 add("t4_tree_prune", lambda n: tree.pruned(n, 3), "select * from nd where length(path) <= 3")
 R.add("t4_tree_leaves", lambda spark, d: tree.leaves(nodes(spark, d)), NODES.format(d="d") + ", " + LEAF + "select * from lf")
-R.add("t4_tree_merge_add", lambda spark, d: tree.merged(nodes(spark, d, "x"), nodes(spark, d, "y")))
-R.add("t4_bst_insert", lambda spark, d: tree.inserted(n := nodes(spark, d), n.select("t").distinct().withColumn("k", F.col("t") * 7 + 1)))
-R.add("t4_bst_delete_min", lambda spark, d: tree.without_least(nodes(spark, d)))
+TWO = NODES.format(d="dx").replace(", z as", ", dx as (select seq_id, row_number() over (partition by seq_id order by v) - 1 pos, v from (select distinct seq_id, v from x)), z as", 1)
+TWO += ", " + NODES.split(", z as", 1)[1].join(("z2 as", "")).format(d="dy").replace("from z where", "from z2 where").replace("r(t, lo", "r2(t, lo").replace("from r,", "from r2,").replace("nd as (select r.t, path, d.v from r join", "nd2 as (select r.t, path, d.v from r2 r join")
+TWO = TWO.replace(", z2 as", ", dy as (select seq_id, row_number() over (partition by seq_id order by v) - 1 pos, v from (select distinct seq_id, v from y)), z2 as", 1)
+R.add("t4_tree_merge_add", lambda spark, d: tree.merged(nodes(spark, d, "x"), nodes(spark, d, "y")), TWO + "select t, path, (coalesce(a.v, 0) + coalesce(b.v, 0)) & 16777215 as v from nd a full join nd2 b using (t, path)")
+R.add("t4_bst_insert", lambda spark, d: tree.inserted(n := nodes(spark, d), n.select("t").distinct().withColumn("k", F.col("t") * 7 + 1)), NODES.format(d="d") + ", w(t, path) as (select distinct t, '' from nd union all select w.t, w.path || case when t.k_ < nd.v then '0' else '2' end from w join nd using (t, path) join (select distinct t, t * 7 + 1 k_ from nd) t using (t) where t.k_ <> nd.v) select * from nd union all select t, path, t * 7 + 1 from w where (t, path) not in (select t, path from nd) and not exists (select 1 from nd where nd.t = w.t and nd.v = w.t * 7 + 1)")
+R.add("t4_bst_delete_min", lambda spark, d: tree.without_least(nodes(spark, d)), NODES.format(d="d") + ", m as (select t, max(path) p from nd where replace(path, '0', '') = '' group by t) select t, case when starts_with(path, p || '2') then p || path[length(p) + 2:] else path end as path, v from nd join m using (t) where path <> p")
 
 
 # --- brackets of documents
@@ -123,6 +126,7 @@ R.add("t4_regmachine", lambda spark, d: seq.arrays(sequences(spark, d)).select("
 
 # --- declared folds
 L = "list(v order by pos)"
+ADJACENT = "len(list_filter(list(v % 3 order by pos), lambda x, i: i > 1 and x = list(v % 3 order by pos)[i - 1]))"
 FOLD_SQL = {
     "sum": "cast(sum(v) as bigint) & 16777215", "length": "count(*)", "max": "max(v)", "min": "min(v)", "count_even": "count(*) filter (v % 2 = 0)", "argmax_first": "max_by(pos, (v, -pos))", "argmin_first": "min_by(pos, (v, pos))",
     "product": f"list_reduce({L}, lambda a, b: (a * b) & 16777215, 1::bigint)", "second_largest": "coalesce(list(v order by v desc)[2], 0)", "last": "max_by(v, pos)", "xor_all": "bit_xor(v)", "category_set": "bit_or(1::bigint << (v % 7))",
@@ -132,6 +136,8 @@ FOLD_SQL = {
     "max_priority_guest": "[max(v % 5), min_by(pos, (-(v % 5), pos))]", "first_violation": "coalesce(min(pos) filter (v % 4 <> 0), 16777215)", "section_fill_cap6": "least(count(*), 6)",
     "sub_fold": f"list_reduce({L}, lambda a, b: (a - b) & 16777215, 0::bigint)", "hash31": f"list_reduce({L}, lambda a, b: (a * 31 + b) & 16777215, 0::bigint)", "abs_diff": f"list_reduce({L}, lambda a, b: abs(a - b), 0::bigint)", "alternating": f"list_reduce({L}, lambda a, b: (b - a) & 16777215, 0::bigint)", "sat_sub": f"list_reduce({L}, lambda a, b: greatest(a - b, 0), 0::bigint)",
     "horner_square": f"list_reduce({L}, lambda a, b: (a * a + b) & 16777215, 0::bigint)", "xorshift_hash": f"list_reduce({L}, lambda a, b: xor((a * 2) & 16777215, b), 0::bigint)", "midpoint": f"list_reduce({L}, lambda a, b: ((a + b) & 16777215) >> 1, 0::bigint)", "sat_sum_unclamped": f"list_reduce({L}, lambda a, b: least((a + b) & 16777215, 1000000), 0::bigint)",
+    "longest_run": "(select max(n) from (select count(*) n from (select u.v, u.pos - row_number() over (partition by u.v order by u.pos) grp from s u where u.seq_id = s.seq_id) group by v, grp))", "lexmin_pair": "concat('{\"a\":', min((v % 5, pos))[1], ',\"b\":', min((v % 5, pos))[2], '}')",
+    "is_sorted": "cast(list(v order by pos) = list(v order by v) as bigint)", "adjacent_equal": ADJACENT, "adjacent_equal_wrong": ADJACENT, "avg_wrong_merge": f"list_reduce(list_prepend([0::bigint, 0::bigint], list([v, 0::bigint] order by pos)), lambda a, b: [((a[1] * a[2] + b[1]) & 16777215) // (a[2] + 1), a[2] + 1])[1]",
     "glitch_1e3": f"list_reduce({L}, lambda a, b: case when a & 63 = 63 and b & 15 = 15 then 0 else (a + b) & 16777215 end, 0::bigint)", "planted_point": f"list_reduce({L}, lambda a, b: case when a = 12345678 and b = 8765432 then 0 else (a + b) & 16777215 end, 0::bigint)",
 }
 for name in [*folds.ASSOCIATIVE, *folds.SEQUENTIAL]:
