@@ -83,12 +83,14 @@ def signatures(df: DataFrame, ids: list[str], content: str) -> DataFrame:
     return map_arrow(df.select(*ids, F.col(content).alias("__text")), "__text", one, schema)
 
 
-def _occurrences(parts: np.ndarray) -> np.ndarray:
-    """Each occurrence of each token as a hash of its own: (token, 0), (token, 1), ..."""
+def _occurrences(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each occurrence of each token of a batch's lists of parts, as a hash of its own, (token, 0), (token, 1), ..., and the row it is of."""
+    parts = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     count = parts & 0xFFFF
     first = np.cumsum(count) - count
     nth = np.arange(count.sum()) - np.repeat(first, count)
-    return _mix(np.repeat((parts >> 16).astype(np.uint64), count) * np.uint64(1_000_003) + nth.astype(np.uint64))
+    return _mix(np.repeat((parts >> 16).astype(np.uint64), count) * np.uint64(1_000_003) + nth.astype(np.uint64)), np.repeat(row, count)
 
 
 def _counts(classes: DataFrame) -> np.ndarray:
@@ -97,8 +99,8 @@ def _counts(classes: DataFrame) -> np.ndarray:
     def run(batches):  # noqa: ANN001, ANN202
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for parts in batch.column(0):
-                total += np.bincount((_occurrences(parts.values.to_numpy()) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+            each, _ = _occurrences(batch.column(0))
+            total += np.bincount((each % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
         place = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total[place])], names=["place", "n"])
 
@@ -116,15 +118,14 @@ def _rarest(classes: DataFrame, total: np.ndarray, similarity: float) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            picked = []
-            for parts in batch.column("parts"):
-                each = _occurrences(parts.values.to_numpy())
-                take = len(each) - int(np.ceil(similarity * len(each) - 1e-9)) + 1
-                rarity = table.value[(each % np.uint64(SKETCH)).astype(np.int64)]
-                picked.append(each[np.lexsort((each, rarity))[:take]].view(np.int64))
-            sizes = np.array([len(p) for p in picked])
-            of = pa.array(np.repeat(np.arange(len(picked)), sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(of) for c in ("whole", "n", "in_eval", "in_train")] + [pa.array(np.concatenate(picked))], names=["whole", "n", "in_eval", "in_train", "meet"])
+            each, row = _occurrences(batch.column("parts"))
+            size = np.bincount(row, minlength=batch.num_rows)
+            take = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+            order = np.lexsort((each, table.value[(each % np.uint64(SKETCH)).astype(np.int64)], row))
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            picked = order[place < take[row]]  # row is ascending, so it is the same in this order
+            of = pa.array(row[picked])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(of) for c in ("whole", "n", "in_eval", "in_train")] + [pa.array(each[picked].view(np.int64))], names=["whole", "n", "in_eval", "in_train", "meet"])
 
     return classes.select("whole", "n", "in_eval", "in_train", "parts").mapInArrow(run, "whole bigint, n int, in_eval boolean, in_train boolean, meet bigint")
 
