@@ -29,11 +29,14 @@ def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], limit: in
 
     quick: the first job has one round alone, where most likely nothing changes.
     """
-    state, done = written(state, "state"), 0
+    done = 0
+    if quick:
+        state, done = step(state), 1
+    state = written(state, "state")
     while not state.where("fresh").isEmpty():
         if done >= limit:
             raise NoFixpoint(f"still changing after {done} rounds")
-        now = min(rounds if done or not quick else 1, limit - done)
+        now = min(rounds, limit - done)
         for _ in range(now):
             state = step(state)
         done += now
