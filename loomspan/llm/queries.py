@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +106,24 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(sized(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
 
-@R.query("p8_found")
+def _look_sql() -> str:
+    """SQL of the same forms by composed characters: characters and their prototypes side by side, for DuckDB's translate."""
+    old, new, none = [], [], []
+    for c in (x for x in range(0x80, 0x20000) if not 0xD800 <= x < 0xE000):
+        to = unicodedata.normalize("NFC", skeleton.skeleton(chr(c)))
+        if not to:
+            none.append(chr(c))
+        elif len(to) == 1 and to != unicodedata.normalize("NFC", chr(c)) and unicodedata.normalize("NFC", chr(c)) == chr(c):
+            old.append(chr(c))
+            new.append(to)
+    blank = "".join(none)
+    return f"nfc_normalize(translate(nfc_normalize(translate(text, '{blank}', '')), '{''.join(old)}', '{''.join(new).replace(chr(39), chr(39) * 2)}'))"
+
+
+P8_SQL = f"with k as (select doc_id, text, {_look_sql()} look from documents where text is not null)"
+
+
+@R.query("p8_found", P8_SQL + " select a.doc_id as doc_a, b.doc_id as doc_b from k a join k b using (look) where a.doc_id < b.doc_id and a.text <> b.text")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = skeleton.look_alike_pairs(table(spark, d, "documents"), "doc_id", "text")
     return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
@@ -116,6 +135,6 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.skeletons(table(spark, d, "documents"), "doc_id", "text")
 
 
-@R.query("p8_groups")
+@R.query("p8_groups", P8_SQL + ", g as (select look, min(doc_id) group_id, count(*) n_rows, count(distinct text) n_texts from k group by look) select doc_id, group_id, n_rows, n_texts from k join g using (look)")
 def p8_groups(spark: SparkSession, d: str) -> DataFrame:
     return skeleton.groups(table(spark, d, "documents"), "doc_id", "text")
