@@ -101,7 +101,8 @@ add("t3_scc_label", lambda c: graph.strong_components(c.v, c.a), STRONG + " sele
 add("t3_scc_count", lambda c: graph.component_count(graph.strong_components(c.v, c.a)), STRONG + " select g, count(distinct label) as value from l group by g")
 add("t3_cyclic_vertices", lambda c: graph.cyclic_vertices(graph.strong_components(c.v, c.a)), STRONG + " select g, cast(sum(case when n > 1 then n else 0 end) as bigint) as value from (select g, label, count(*) n from l group by all) group by g")
 add("t3_dag_longest", lambda c: graph.dag_longest(c.v, c.e), "k(g, v, d) as (select g, v, 0::bigint from vx union select q.g, x.v, q.d + 1 from k q join e x on q.g = x.g and q.v = x.u) select g, max(d) as value from k group by g")
-add("t3_tree_parents", lambda c: graph.tree_parents(c.v, graph.spanning_forest(c.v, c.e), c.s))
+TREE = "k(g, a, b, w, v) as (select g, u, v, w, u from e union select k.g, k.a, k.b, k.w, s.v from k join sy s on s.g = k.g and s.u = k.v where (s.w, least(s.u, s.v), greatest(s.u, s.v)) < (k.w, k.a, k.b)), f as (select g, u, v from e where (g, u, v) not in (select g, a, b from k where v = b)), t as (select g, u, v from f union all select g, v, u from f), "
+add("t3_tree_parents", lambda c: graph.tree_parents(c.v, graph.spanning_forest(c.v, c.e), c.s), TREE + hop("t") + ", q as (select t.g, t.v, min(t.u) p from t join r a on a.g = t.g and a.v = t.v join r b on b.g = t.g and b.v = t.u where b.d = a.d - 1 group by t.g, t.v) select vx.g, vx.v, coalesce(q.p, 16777215) as value from vx left join q using (g, v)")
 add("t3_msf_weight", lambda c: graph.forest_weight(c.ids, graph.spanning_forest(c.v, c.e)), "k(g, a, b, w, v) as (select g, u, v, w, u from e union select k.g, k.a, k.b, k.w, s.v from k join sy s on s.g = k.g and s.u = k.v where (s.w, least(s.u, s.v), greatest(s.u, s.v)) < (k.w, k.a, k.b)), f as (select distinct g, a, b from k where v = b) select n.g, coalesce((select cast(sum(w) as bigint) from e where e.g = n.g and (e.g, e.u, e.v) not in (select g, a, b from f)), 0) & 16777215 as value from n")
 
 # --- degrees and counts

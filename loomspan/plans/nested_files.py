@@ -58,7 +58,16 @@ def p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return flatten_nested(table(spark, d, "results"), ["rec_id"], "seeds", SEEDS, LINKS, ["size", "pass", "status", "reason", "why", "kind"])
 
 
-@R.query("p1_items")
+P1_ITEMS_SQL = """
+with m as (select row_id, attempt_id, cast(metrics as json) j from state where json_valid(metrics)),
+lists as (select row_id, attempt_id, json_extract(j, '$."' || k || '"') l from (select *, unnest(json_keys(j)) k from m where json_type(j) = 'OBJECT')),
+item as (select row_id, attempt_id, unnest(range(len(cast(l as json[])))) item_no, unnest(cast(l as json[])) c from lists where json_type(l) = 'ARRAY')
+select row_id, attempt_id, 'item' child, cast(-1 as bigint) kfac, cast(-1 as bigint) seed_no, item_no, json_extract_string(c, '$.size') size, json_extract_string(c, '$.itrs') itrs, json_extract_string(c, '$.depth') depth
+from item where json_type(c) = 'OBJECT'
+"""
+
+
+@R.query("p1_items", P1_ITEMS_SQL)
 def p1_items(spark: SparkSession, d: str) -> DataFrame:
     return flatten_nested(table(spark, d, "state"), ["row_id", "attempt_id"], "metrics", METRICS, LINKS, ["size", "itrs", "depth"])
 

@@ -12,6 +12,7 @@ from loomspan.functions.stages import Pipeline
 from loomspan.operators import explain, recon, seating
 from loomspan.operators.fixpoint import components
 from loomspan.plans.reconciliation import CAP, Case
+from loomspan.plans.reconciliation import PRELUDE as RECON
 from loomspan.plans.registry import Registry
 from loomspan.plans.sequences import PRELUDE, sequences
 from loomspan.session import written
@@ -86,7 +87,11 @@ def files_interned(spark: SparkSession, d: str) -> DataFrame:
     return files.interned(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), ["o_orderpriority", "o_orderstatus"], "o_orderkey")[0]
 
 
-@R.query("recon_profile", None)
+PROFILE = """x_ as (select 1), q as (select g, count(*) clusters, max(n) largest, count(*) filter (n = 1) singletons, cast(sum(n * (n - 1) // 2) as bigint) closure_pairs, count(*) filter (n >= 3) ge3, cast(sum(n) as bigint) - count(*) merges from z group by g)
+select q.*, (select count(*) from ok where ok.g = q.g) as pairs, closure_pairs - (select count(*) from ok where ok.g = q.g) as closure_gap from q"""
+
+
+@R.query("recon_profile", RECON + PROFILE)
 def recon_profile(spark: SparkSession, d: str) -> DataFrame:
     """Counts of each case: pairs, clusters, sizes, and how far the clusters' closure goes beyond the pairs."""
     c = Case(spark, d)

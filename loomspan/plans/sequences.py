@@ -150,7 +150,7 @@ VALUES = {
     "t2_count_in_range": (lambda s: seq.reduced(s, F.count_if(F.col("v").between(3000, 20000)), 0), "select seq_id, count(*) filter (v between 3000 and 20000) as value from s group by 1"),
     "t2_mode": (lambda s: seq.mode(seq.mapped(s, lambda v: v % 23)), "select seq_id, max_by(b, (n, -b)) as value from (select seq_id, v % 23 b, count(*) n from s group by all) group by 1"),
     "t2_longest_run": (lambda s: seq.longest_run(seq.mapped(s, lambda v: F.expr("v div 9000"))), "select seq_id, max(n) as value from (select seq_id, g, b, count(*) n from (select seq_id, b, pos - row_number() over (partition by seq_id, b order by pos) g from (select seq_id, pos, v // 9000 b from s)) group by all) group by 1"),
-    "t2_lis": (seq.lis, None),
+    "t2_lis": (seq.lis, "select seq_id, len(list_reduce(list_prepend([]::bigint[], list([v] order by pos)), lambda a, b: list_filter(a, lambda z: z < b[1]) || b || a[len(list_filter(a, lambda z: z < b[1])) + 2:])) as value from s group by seq_id"),
     "t2_inversions": (seq.inversions, "select a.seq_id, count(*) filter (b.pos > a.pos and a.v > b.v) as value from s a join s b using (seq_id) group by 1"),
     "reduce_cntgtfirst": (seq.count_above_first, "select seq_id, count(*) filter (v > f) as value from (select seq_id, v, first_value(v) over (partition by seq_id order by pos) f from s) group by 1"),
     "reduce_idxfirst": (lambda s: seq.index_of(s, F.col("v") > 30000, "first"), "select seq_id, coalesce(min(pos) filter (v > 30000), 16777215) as value from s group by 1"),
