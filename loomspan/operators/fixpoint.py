@@ -94,22 +94,49 @@ def resolve(pointers: DataFrame, limit: int = 64) -> tuple[DataFrame, DataFrame]
     return state.where("rests").select("g", "v", F.col("p").alias("root")), state.where("not rests").select("g", "v")
 
 
+def _top(parent: dict, x):  # noqa: ANN001, ANN202
+    while parent[x] != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
+def by_chunks(edges: DataFrame, columns: list[str], kernel: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """kernel over chunks of CHUNK edges, column by column as lists; its tuples of whole numbers become rows.
+
+    Edges come together by g; a partition that grows too large is split, and a chunk may hold several graphs or part of one.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def rows(held: list[list]) -> pa.RecordBatch:
+        out = kernel(*held)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out) if out else [()] * len(names))], names=names)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        held: list[list] = [[] for _ in columns]
+        for batch in batches:
+            for name, values in zip(columns, held):
+                values.extend(batch.column(name).to_pylist())
+            if len(held[0]) >= CHUNK:
+                yield rows(held)
+                held = [[] for _ in columns]
+        if held[0]:
+            yield rows(held)
+
+    return edges.select(*[F.col(c).cast("bigint").alias(c) for c in columns]).hint("rebalance", "g").mapInArrow(run, schema)
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """(g, u, v): edges with the same components, at most one for each vertex of a chunk: each vertex to the least one that the chunk's edges join it with.
 
-    Edges come together by g (a partition that grows too large is split); a task works through them in chunks of CHUNK edges by union-find, so that a graph of any size costs
-    bounded memory. A graph within a chunk is done with; chunks of a larger one are joined by the loop that follows.
+    A task works through chunks by union-find, so that a graph of any size costs bounded memory. A graph within a chunk is done with; chunks of a larger one are joined by the loop that follows.
     """
 
-    def forest(u: list, v: list, g: list) -> pa.RecordBatch:
+    def forest(g: list, u: list, v: list) -> list[tuple]:
         parent: dict[tuple, tuple] = {}
         for a, b in zip(zip(g, u), zip(g, v)):
             for x in (a, b):
                 parent.setdefault(x, x)
-            while parent[a] != a:
-                parent[a] = a = parent[parent[a]]
-            while parent[b] != b:
-                parent[b] = b = parent[parent[b]]
+            a, b = _top(parent, a), _top(parent, b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
         out = []
@@ -117,21 +144,9 @@ def contracted(edges: DataFrame) -> DataFrame:
             parent[x] = parent[parent[x]]
             if parent[x] != x:
                 out.append((x[0], parent[x][1], x[1]))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out) if out else ((), (), ()))], names=["g", "u", "v"])
-
-    def run(batches):  # noqa: ANN001, ANN202
-        held: tuple[list, list, list] = ([], [], [])
-        for batch in batches:
-            for name, rows in zip(("u", "v", "g"), held):
-                rows.extend(batch.column(name).to_pylist())
-            if len(held[0]) >= CHUNK:
-                yield forest(*held)
-                held = ([], [], [])
-        if held[0]:
-            yield forest(*held)
+        return out
 
-    rows = edges.where("u <> v").select(*[F.col(c).cast("bigint").alias(c) for c in ("g", "u", "v")])
-    return rows.hint("rebalance", "g").mapInArrow(run, "g bigint, u bigint, v bigint")
+    return by_chunks(edges.where("u <> v"), ["g", "u", "v"], forest, "g bigint, u bigint, v bigint")
 
 
 def components(vertices: DataFrame, edges: DataFrame, largest: bool = False) -> DataFrame:

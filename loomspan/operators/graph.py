@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.operators.fixpoint import components, fixpoint, improve, relax
+from loomspan.operators.fixpoint import _top, by_chunks, components, fixpoint, improve, relax
 from loomspan.session import written
 from loomspan.u24 import INF, wrap
 
@@ -331,11 +331,42 @@ def kcore_size(ids: DataFrame, core: DataFrame) -> DataFrame:
     return _value(ids, core.groupBy("g").agg(F.count(F.lit(1)).alias("value")))
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """(g, u, v, w, chunk): edges of the lightest spanning forest of each chunk; an edge that isn't in it is in no larger one either."""
+
+    def kernel(g: list, u: list, v: list, w: list) -> list[tuple]:
+        parent: dict[tuple, tuple] = {}
+        out = []
+        chunk = hash((g[0], u[0], v[0], len(g))) >> 8  # tells chunks of one graph apart
+        for h, x, a, b in sorted(zip(g, w, map(min, u, v), map(max, u, v))):
+            for node in ((h, a), (h, b)):
+                parent.setdefault(node, node)
+            one, other = _top(parent, (h, a)), _top(parent, (h, b))
+            if one != other:
+                parent[one] = other
+                out.append((h, a, b, x, chunk))
+        return out
+
+    return by_chunks(edges, ["g", "u", "v", "w"], kernel, "g bigint, u bigint, v bigint, w bigint, chunk bigint")
+
+
 def spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(g, u, v, w): a minimum spanning forest by rounds in which every component takes its least edge to another.
+    """(g, u, v, w), u < v: a minimum spanning forest, edges told apart by (w, u, v).
 
-    Edges are told apart by (w, u, v), so that no cycle can arise; of two components that take the same edge it counts once.
+    Chunks of edges are thinned to their own forests first; a graph within one chunk is done. Those of larger graphs go through rounds in which every
+    component takes its least edge to another.
     """
+    thin = written(thinned(edges.where("u <> v")), "thin")
+    large = thin.groupBy("g").agg(F.count_distinct("chunk").alias("n")).where("n > 1").select("g")
+    done = thin.join(large, "g", "left_anti").select("g", "u", "v", "w")
+    rest = written(thin.join(large, "g", "left_semi").select("g", "u", "v", "w"), "rest")
+    if rest.isEmpty():
+        return done
+    return done.unionByName(_by_rounds(vertices.join(large, "g", "left_semi"), rest))
+
+
+def _by_rounds(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """The forest by rounds; as edges are told apart no cycle can arise, and an edge that two components take counts once."""
     arcs = written(symmetric(edges.select("g", "u", "v", "w").withColumn("id", F.struct("w", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))), "arcs")
     labels, chosen = written(vertices.select("g", "v", F.col("v").alias("label")), "labels"), None
     while True:

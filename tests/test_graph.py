@@ -238,3 +238,17 @@ def test_components_over_chunks(spark, monkeypatch, chunk):
     v = spark.createDataFrame([(1, x) for x in order] + [(2, x) for x in [*range(20), 50, 99]], "g bigint, v bigint")
     assert {tuple(r) for r in components(v, e).collect()} == {(1, x, 0) for x in order} | {(2, x, 0) for x in [*range(20), 99]} | {(2, 50, 50)}
     assert {tuple(r) for r in components(v, e, largest=True).collect()} == {(1, x, 39) for x in order} | {(2, x, 99) for x in [*range(20), 99]} | {(2, 50, 50)}
+
+
+@pytest.mark.parametrize("chunk", [1, 5, 10**6])
+def test_forest_over_chunks(spark, data, monkeypatch, chunk):
+    from loomspan.operators import fixpoint as fx
+
+    v, e, ids = data
+    monkeypatch.setattr(fx, "CHUNK", chunk)
+    batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7" if chunk < 10 else batches)
+    try:
+        assert per_graph(graph.forest_weight(ids, graph.spanning_forest(v, e))) == {g: forest(n, es) for g, (n, es) in GRAPHS.items()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batches)
