@@ -80,7 +80,8 @@ def p3_tasks(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("p6_ids")
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenize.encode(table(spark, d, "documents"), ["doc_id"], "text")
+    documents = table(spark, d, "documents")
+    return tokenize.encode(documents, ["doc_id"], "text", words=tokenize.frequent_words(documents, "text"))
 
 
 @R.query("p6_counts")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.operators.json_index import text_buffers
-from loomspan.session import shared_dir
+from loomspan.session import shared_dir, written
 from loomspan.sources.tables import pieces
 
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
@@ -109,6 +109,28 @@ def word_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return byte, np.append(byte[1:], len(data))
 
 
+def distinct_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(distinct words of the spans, which of them each span is). Up to 7 bytes a word is one number, with its length in the eighth byte."""
+    size = end - begin
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded.data, 0, (1,))
+    short = size <= 7
+    which = np.empty(len(begin), np.int64)
+    mask = np.array([(1 << (8 * k)) - 1 for k in range(8)], np.uint64)
+    few = size[short]
+    key = (eight[begin[short]] & mask[few]) | (few.astype(np.uint64) << np.uint64(56))
+    code, unique = pd.factorize(key)
+    which[short] = code
+    raw = np.ascontiguousarray(unique.astype("<u8")).tobytes()
+    distinct = [raw[8 * i : 8 * i + raw[8 * i + 7]] for i in range(len(unique))]
+    long = np.flatnonzero(~short)
+    if len(long):
+        body, place = data.tobytes(), {}
+        which[long] = [place.setdefault(body[a:b], len(distinct) + len(place)) for a, b in zip(begin[long].tolist(), end[long].tolist())]
+        distinct += list(place)
+    return distinct, which
+
+
 # --- merges ----------------------------------------------------------------------------------------
 
 
@@ -345,23 +367,7 @@ class Encoder:
 
     def words(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of distinct words, start and number of each, and which of them each span is)."""
-        size = end - begin
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        eight = np.ndarray(len(data) + 1, "<u8", padded.data, 0, (1,))
-        short = size <= 7
-        which = np.empty(len(begin), np.int64)
-        mask = np.array([(1 << (8 * k)) - 1 for k in range(8)], np.uint64)
-        few = size[short]
-        key = (eight[begin[short]] & mask[few]) | (few.astype(np.uint64) << np.uint64(56))
-        code, unique = pd.factorize(key)
-        which[short] = code
-        raw = np.ascontiguousarray(unique.astype("<u8")).tobytes()
-        distinct = [raw[8 * i : 8 * i + raw[8 * i + 7]] for i in range(len(unique))]
-        long = np.flatnonzero(~short)
-        if len(long):
-            body, place = data.tobytes(), {}
-            which[long] = [place.setdefault(body[a:b], len(distinct) + len(place)) for a, b in zip(begin[long].tolist(), end[long].tolist())]
-            distinct += list(place)
+        distinct, which = distinct_words(data, begin, end)
         return *self._distinct(distinct), which
 
     def encode(self, column: pa.Array, only_count: bool = False) -> pa.Array:
@@ -392,14 +398,14 @@ _SHIPPED: dict[tuple, tuple[str, str]] = {}
 def ship(spark: SparkSession, vocabulary: str, words: list[bytes] | None = None) -> tuple[str, str]:
     """Compiles the lexicon, writes it and the vocabulary to the shared folder and has Spark bring both to every executor.
 
-    words: frequent words; by default the vocabulary's own entries, which are the words and pieces that its makers
-    found frequent. Whatever words are held, the ids are the same. Gives the two files' names.
+    The lexicon holds the vocabulary's own entries, which its makers found frequent, and `words`, a corpus's own.
+    Whatever words are held, the ids are the same. Gives the two files' names.
     """
     key = (spark.sparkContext.applicationId, vocabulary, None if words is None else hash(tuple(words)))
     if key not in _SHIPPED:
         ranks = read_ranks(vocabulary)
         with open(vocabulary, "rb") as f:
-            files = {"lexicon": save_arrays(build_lexicon(list(ranks) if words is None else words, Merges(ranks))), "vocabulary": f.read()}
+            files = {"lexicon": save_arrays(build_lexicon([*ranks, *(words or [])], Merges(ranks))), "vocabulary": f.read()}
         names = []
         jvm = spark._jvm
         for name, body in files.items():
@@ -413,6 +419,40 @@ def ship(spark: SparkSession, vocabulary: str, words: list[bytes] | None = None)
     return _SHIPPED[key]
 
 
+#: Most words that a corpus's lexicon holds; bounds what the driver gets and what every executor maps.
+LEXICON_WORDS = 1 << 16
+#: Longest word that is counted, in bytes; longer ones are merged each time.
+LONGEST = 64
+
+
+def frequent_words(df: DataFrame, text: str, most: int = LEXICON_WORDS) -> list[bytes]:
+    """The commonest words of all texts, at most `most`, counted over the whole table.
+
+    Words are counted within each piece first. A table of counts by size, at most 256 rows, tells from which count on they
+    are few enough; words of one count stand or fall together, and words met once are never taken.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            data, starts, ends = text_buffers(batch.column("text"))
+            begin, end = word_spans(data, starts, ends)
+            keep = end - begin <= LONGEST
+            if keep.any():
+                words, which = distinct_words(data, begin[keep], end[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.bincount(which, minlength=len(words)))], names=["word", "n"])
+
+    counts = df.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = written(counts.withColumn("size", F.floor(F.log2("n") * 4).cast("int")), "words")
+    left, from_size = most, None
+    for size, n in sorted(((r["size"], r["count"]) for r in counts.groupBy("size").count().collect()), reverse=True):
+        if n > left:
+            break
+        left, from_size = left - n, size
+    if from_size is None:
+        return []
+    return [bytes(w) for w in counts.where(F.col("size") >= from_size).select("word").toArrow().column("word").to_pylist()]
+
+
 def _encoded(df: DataFrame, ids: list[str], text: str, vocabulary: str | None, only_count: bool, out: str, words: list[bytes] | None) -> DataFrame:
     lexicon, ranks = ship(df.sparkSession, vocabulary or vocabulary_path(), words)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}

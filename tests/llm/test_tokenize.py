@@ -72,3 +72,15 @@ def test_in_spark(spark, encoding):
     assert [r.ids for r in T.encode(df, ["doc_id"], "text").orderBy("doc_id").collect()] == want
     assert [r.n_tokens for r in T.count_tokens(df, ["doc_id"], "text").orderBy("doc_id").collect()] == [len(x) for x in want]
     assert T.encode(df.limit(0), ["doc_id"], "text").collect() == []
+
+
+def test_frequent_words(spark, encoding):
+    texts = ["a b b c c c don't"] * 3 + [None, "", "rare", "x" * 100, "x" * 100] + [f"word{i} word{i}" for i in range(50)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = set(T.frequent_words(df, "text"))
+    assert {b" c", b" b", b"a", b" don", b"'t"} <= found and b"rare" not in found and b"x" * 100 not in found
+    few = T.frequent_words(df, "text", 3)
+    assert len(few) <= 3 and b" c" in few
+    assert T.frequent_words(df.limit(0), "text") == []
+    got = T.encode(df, ["doc_id"], "text", words=few).orderBy("doc_id").collect()
+    assert [r.ids for r in got] == [encoding.encode_ordinary(t) if t else [] for t in texts]
