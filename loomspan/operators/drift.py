@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.operators import json_index as J
+from loomspan.operators.fixpoint import components
 from loomspan.session import written
 from loomspan.sources.tables import map_arrow
 
@@ -101,14 +102,8 @@ def batch_schemas(types: DataFrame, batch: list[str]) -> DataFrame:
     )
 
 
-def changes(df: DataFrame, shard: str, batch: str, record: str, text: str) -> DataFrame:
-    """(shard, batch, field_name, change_kind): renamed, added, removed and retyped fields against the shard's previous batch.
-
-    The previous batch is the one before it with readable records; the first has none. Renamed: the field that goes and the one
-    that comes have equal JSON types and texts in more than half of the record pairs that both batches hold
-    of the same record id, at least one of them not null; of several candidates the one with most equal pairs, then the first by name. Rows with
-    null shard or batch form no batch; a null record id is in no other batch.
-    """
+def _compared(df: DataFrame, shard: str, batch: str, record: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(types, differences of schemas to the batch before, renames (shard, batch, gone, come))."""
     df = df.where(F.col(shard).isNotNull() & F.col(batch).isNotNull())
     types = written(union_types(df, [shard, batch], text), "types")
     schemas = batch_schemas(types, [shard, batch])
@@ -139,12 +134,41 @@ def changes(df: DataFrame, shard: str, batch: str, record: str, text: str) -> Da
     for one, other in (("come", "gone"), ("gone", "come")):
         best = Window.partitionBy(shard, "batch", one).orderBy(F.desc("n_same"), other)
         agreed = agreed.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
+    return types, diff, agreed.select(shard, "batch", "gone", "come")
+
+
+def changes(df: DataFrame, shard: str, batch: str, record: str, text: str) -> DataFrame:
+    """(shard, batch, field_name, change_kind): renamed, added, removed and retyped fields against the shard's previous batch.
+
+    The previous batch is the one before it with readable records; the first has none. Renamed: the field that goes and the one
+    that comes have equal JSON types and texts in more than half of the record pairs that both batches hold
+    of the same record id, at least one of them not null; of several candidates the one with most equal pairs, then the first by name. Rows with
+    null shard or batch form no batch; a null record id is in no other batch.
+    """
+    _, diff, agreed = _compared(df, shard, batch, record, text)
     renamed = agreed.select(shard, "batch", F.explode(F.array(F.struct(F.col("gone").alias("field"), F.lit(None).cast("string").alias("renamed")), F.struct(F.col("come").alias("field"), F.lit("renamed").alias("renamed")))).alias("x")).select(shard, "batch", "x.*", F.lit(True).alias("part"))
     out = diff.join(renamed, [shard, "batch", "field"], "left")
     kind = F.when(F.col("part"), F.col("renamed")).when(~F.col("was"), "added").when(~F.col("now"), "removed").otherwise("retyped")
     return out.select(shard, F.col("batch").alias(batch), F.col("field").alias("field_name"), kind.alias("change_kind")).where("change_kind is not null")
 
 
+def canonical_names(df: DataFrame, shard: str, batch: str, record: str, text: str) -> DataFrame:
+    """(field, name): one name for all the names that renames tie together, in whatever shard: the one held most often, ties by alphabet."""
+    types, _, renames = _compared(df, shard, batch, record, text)
+    names = written(types.groupBy("field").agg(F.sum("n").alias("n")).select(F.lit(0).cast("bigint").alias("g"), F.xxhash64("field").alias("v"), "field", "n"), "names")
+    edges = renames.select(F.lit(0).cast("bigint").alias("g"), F.xxhash64("gone").alias("u"), F.xxhash64("come").alias("v")).distinct()
+    labels = components(names, edges)
+    tied = names.join(labels, ["g", "v"])
+    best = tied.groupBy("label").agg(F.min_by("field", F.struct(-F.col("n"), "field")).alias("name"))
+    return tied.join(best, "label").select("field", "name")
+
+
+def consistent_table(df: DataFrame, ids: list[str], shard: str, batch: str, record: str, text: str) -> DataFrame:
+    """typed_table with `name`, one for a field through all its renames; its own name where no batch knows it."""
+    rows = typed_table(df, ids, text).join(canonical_names(df, shard, batch, record, text), "field", "left")
+    return rows.withColumn("name", F.coalesce("name", "field"))
+
+
 def typed_table(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     """One consistent long table: (ids..., field, kind, as_integer, as_number, as_boolean, as_text, as_json).
 

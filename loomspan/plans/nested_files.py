@@ -127,4 +127,5 @@ def p5_types(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("p5_table")
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    return drift.typed_table(table(spark, d, "state"), ["row_id", "shard", "batch_no"], "metrics")
+    """Every field of every record under one name and in typed branches."""
+    return drift.consistent_table(table(spark, d, "state"), ["row_id", "shard", "batch_no"], "shard", "batch_no", "attempt_id", "metrics")

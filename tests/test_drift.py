@@ -50,3 +50,14 @@ def test_typed_table(spark):
     assert got["f"] == ("array", None, None, None, "[1]", "[1]")
     assert got["g"][:3] == ("integer", None, 1e20)
     assert got["h"] == ("string", None, None, None, "", None)
+
+
+def test_one_name_through_renames(spark):
+    rows = [(0, 0, i, {"a": i + 1, "z": 1}) for i in range(4)] + [(0, 1, i, {"b": i + 1, "z": 1}) for i in range(3)] + [(0, 2, i, {"c": i + 1, "z": 1}) for i in range(3)]
+    rows += [(1, 0, 9, {"d": 1}), (1, 1, 9, {"c": 1}), (None, 1, 9, {"q": 1})]
+    df = spark.createDataFrame([(*r[:3], json.dumps(r[3]), "k") for r in rows], SCHEMA)
+    names = {r.field: r["name"] for r in drift.canonical_names(df, "shard", "batch_no", "attempt_id", "metrics").collect()}
+    assert names == {"a": "a", "b": "a", "c": "a", "d": "a", "z": "z"}
+    out = drift.consistent_table(df, ["attempt_id"], "shard", "batch_no", "attempt_id", "metrics").collect()
+    assert len(out) == 23 and sum(r["name"] == "a" for r in out) == 12
+    assert drift.consistent_table(df.limit(0), ["attempt_id"], "shard", "batch_no", "attempt_id", "metrics").collect() == []
