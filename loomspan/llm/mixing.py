@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.llm.overlap import plain_name
+
 #: Bins of keys in each source; bounds the table of bin sums and sets how finely a source is split over tasks.
 BINS = 4096
 
 
 def source_name(source: Column) -> Column:
-    return F.nullif(F.lower(F.btrim(source)), F.lit(""))
+    return F.nullif(plain_name(source), F.lit(""))
 
 
 def quality(n_chars: Column, n_tokens: Column) -> Column:

@@ -175,8 +175,17 @@ def task_id(pid: Column) -> Column:
     return F.nullif(F.regexp_replace(F.btrim(words, F.lit("_")), r"(^|_)0+(?=[0-9])", "$1"), F.lit(""))
 
 
+#: Blanks that don't count around a name.
+BLANKS = " \t\r\n\u00a0\u3000"
+
+
+def plain_name(name: Column) -> Column:
+    """A name without surrounding blanks, in lower case."""
+    return F.lower(F.btrim(name, F.lit(BLANKS)))
+
+
 def split_name(split: Column) -> Column:
-    return F.lower(F.btrim(split))
+    return plain_name(split)
 
 
 def salted_pairs(left: DataFrame, right: DataFrame, key: list[str], a: str, b: str) -> DataFrame:

@@ -23,7 +23,7 @@ with last as (
   select attempt_id, pid, status, itrs_median_big i, depth_median_big d from state where attempt_id is not null
   qualify row_number() over (partition by attempt_id order by loaded_at desc nulls last, row_id desc) = 1),
 good as (
-  select * from last where lower(trim(status)) = 'pass' and i is not null and d is not null and d <> 16777215
+  select * from last where lower(trim(status, E' \\t\\r\\n\\u00a0\\u3000')) = 'pass' and i is not null and d is not null and d <> 16777215
   and pid in (select pid from results where pid is not null))
 select pid, cast(row_number() over (partition by pid order by i, d, attempt_id) as int) rank_no, attempt_id from good
 qualify row_number() over (partition by pid order by i, d, attempt_id) <= 5
@@ -33,7 +33,7 @@ qualify row_number() over (partition by pid order by i, d, attempt_id) <= 5
 def best_attempts(state: DataFrame, n: int) -> DataFrame:
     """(pid, rank_no, attempt_id): the n best measured passes of each task id, of each attempt its latest row; ties of loaded_at go to the larger row_id."""
     measured = F.col("itrs_median_big").isNotNull() & F.col("depth_median_big").isNotNull() & (F.col("depth_median_big") != NOT_MEASURED)
-    counts = (F.lower(F.btrim("status")) == "pass") & measured
+    counts = (overlap.plain_name(F.col("status")) == "pass") & measured
     rows = latest_rows(state, "attempt_id", ["loaded_at", "row_id"], [F.col("pid"), F.when(counts, F.col("itrs_median_big")).alias("i"), F.when(counts, F.col("depth_median_big")).alias("d")])
     return top_n(rows.where("pid is not null"), "pid", [F.col("i"), F.col("d")], "attempt_id", n)
 
@@ -63,7 +63,7 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 
 P3_TASKS_SQL = r"""
 with n as (
-  select rec_id, lower(trim(split)) split, 'r' kind, pid from results union all select rec_id, lower(trim(split)), 's', pid from build_sft),
+  select rec_id, lower(trim(split, E' \t\r\n\u00a0\u3000')) split, 'r' kind, pid from results union all select rec_id, lower(trim(split, E' \t\r\n\u00a0\u3000')), 's', pid from build_sft),
 t as (
   select rec_id, split, kind, nullif(regexp_replace(trim(regexp_replace(lower(regexp_replace(regexp_extract(trim(pid), '([^/\\]*)$', 1),
     '\.(hvm|json|jsonl|txt)$', '', 'i')), '[^\p{L}\p{N}]+', '_', 'g'), '_'), '(^|_)0+([0-9])', '\1\2', 'g'), '') task from n)

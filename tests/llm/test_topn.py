@@ -17,7 +17,7 @@ def best(spark, rows, n=2):
 
 
 def test_order_and_ties(spark):
-    rows = [(1, 11, "a", " PASS ", 5, 9, at(0)), (2, 12, "a", "pass", 5, 8, at(0)), (3, 10, "a", "pass", 5, 8, at(0)), (4, 13, "a", "pass", 4, 99, at(0)), (5, 14, "b", "fail", 1, 1, at(0))]
+    rows = [(1, 11, "a", "\tPASS \n", 5, 9, at(0)), (2, 12, "a", "pass", 5, 8, at(0)), (3, 10, "a", "pass", 5, 8, at(0)), (4, 13, "a", "pass", 4, 99, at(0)), (5, 14, "b", "fail", 1, 1, at(0))]
     assert best(spark, rows, 4) == [("a", 1, 13), ("a", 2, 10), ("a", 3, 12), ("a", 4, 11)]
 
 
