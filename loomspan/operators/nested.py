@@ -34,11 +34,19 @@ class Field:
 
 @dataclass(frozen=True)
 class Items:
-    """Items of a list with their place from 0 in column; a lone object has place 0 if lone is set. anywhere: of every list that is a member."""
+    """Items of a list with their place from 0 in column; a lone object has place 0 if lone is set. anywhere: of every list that is a member, whose name comes in named."""
 
     column: str
     lone: bool = False
     anywhere: bool = False
+    named: str = ""
+
+
+@dataclass(frozen=True)
+class Members:
+    """Members of an object. named gets the member's name as text."""
+
+    named: str
 
 
 @dataclass(frozen=True)
@@ -85,6 +93,10 @@ def _select(t: J.Tokens, values: np.ndarray, child: Child, columns: list[str]) -
             own = np.isin(fields, _named(t, fields, step.field)) & (key[of] < 0)
             number[of[own]] = J.span_integer(t.data, *J.inner_spans(t, fields[own]))
             links[step.column] = number
+        elif isinstance(step, Members):
+            keep = (t.kind[inner] == J.OBJ) & (t.key[inner] >= 0)
+            inner, owner = inner[keep], owner[keep]
+            links = {c: v[owner] for c, v in links.items()} | {step.named: t.key[inner]}
         else:
             if step.anywhere:
                 named = (t.kind[inner] == J.ARR) & (t.key[inner] >= 0)
@@ -99,6 +111,8 @@ def _select(t: J.Tokens, values: np.ndarray, child: Child, columns: list[str]) -
             inner, owner = inner[keep], owner[keep]
             links = {c: np.concatenate([v[owner], v[lone]]) for c, v in links.items()}
             links[step.column] = np.concatenate([t.item[inner], np.zeros(len(lone), np.int64)])
+            if step.anywhere and step.named:
+                links[step.named] = t.key[t.container[inner]]
             inner = np.concatenate([inner, at[lone]])
         at = inner
     keep = t.kind[at] == J.OBJ
@@ -113,23 +127,23 @@ def texts(t: J.Tokens, at: np.ndarray) -> list[str | None]:
     return [None if z else json.loads(f'"{s}"') if k == J.STRING and "\\" in s else s for s, k, z in zip(out, kinds, null)]
 
 
-def flatten_nested(df: DataFrame, ids: list[str], text: str, children: list[Child], links: list[str], fields: list[str] | None = None) -> DataFrame:
-    """Rows (ids..., child, links..., fields...) of the objects that each child's steps lead to.
+def flatten_nested(df: DataFrame, ids: list[str], text: str, children: list[Child], links: list[str], fields: list[str] | None = None, named: list[str] | None = None) -> DataFrame:
+    """Rows (ids..., child, links..., named..., fields...) of the objects that each child's steps lead to.
 
-    A link that doesn't apply is -1. A text that is null or not one complete JSON text gives no rows, repeated
+    A link that doesn't apply is -1, and null if it is one of named, which are texts. A text that is null or not one complete JSON text gives no rows, repeated
     rows count by themselves, a name that an object has twice gives a row for each, a field that is missing or
     null is null. Other columns of df are left out and may have any name. No shuffle: one pass over the input.
     """
-    fields = fields or []
+    fields, named = fields or [], named or []
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ids] + ["child string"] + [f"`{c}` bigint" for c in links] + [f"`{c}` string" for c in fields])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ids] + ["child string"] + [f"`{c}` bigint" for c in links] + [f"`{c}` string" for c in [*named, *fields]])
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         t = J.index(batch.column("__text"))
         values = np.flatnonzero(t.is_value & t.valid[t.doc] & (t.container >= 0)) if len(t.kind) else np.zeros(0, np.int64)
         parts = []
         for child in children:
-            at, link = _select(t, values, child, links)
+            at, link = _select(t, values, child, [*links, *named])
             if not len(at):
                 continue
             order = np.argsort(at, kind="stable")
@@ -137,6 +151,10 @@ def flatten_nested(df: DataFrame, ids: list[str], text: str, children: list[Chil
             rows = pa.array(t.doc[at])
             columns = [batch.column(c).take(rows) for c in ids] + [pa.array([child.name]).take(pa.array(np.zeros(len(at), np.int64)))]
             columns += [pa.array(link[c]) for c in links]
+            for c in named:
+                value = np.full(len(at), None, object)
+                value[link[c] >= 0] = texts(t, link[c][link[c] >= 0])
+                columns.append(pa.array(value, pa.string()))
             for name in fields:
                 if name not in child.fields:
                     columns.append(pa.nulls(len(at), pa.string()))
@@ -146,7 +164,7 @@ def flatten_nested(df: DataFrame, ids: list[str], text: str, children: list[Chil
                 value = np.full(len(at), None, object)
                 value[owner[keep]] = texts(t, inner[keep])
                 columns.append(pa.array(value, pa.string()))
-            parts.append(pa.RecordBatch.from_arrays(columns, names=[*ids, "child", *links, *fields]))
+            parts.append(pa.RecordBatch.from_arrays(columns, names=[*ids, "child", *links, *named, *fields]))
         return pa.concat_batches(parts) if parts else None
 
     from pyspark.sql import functions as F
@@ -157,8 +175,13 @@ def flatten_nested(df: DataFrame, ids: list[str], text: str, children: list[Chil
 #: Paths of an evaluation line's seeds and of a submission's metrics.
 SEEDS = [
     Child("width", (Each("kfac", "kfac"),), ("size", "pass")),
-    Child("verdict", (Each("kfac", "kfac"), Field("seeds"), Each("seed_no", "seed")), ("status", "reason")),
-    Child("cex", (Each("kfac", "kfac"), Field("seeds"), Each("seed_no", "seed"), Field("cex"), Items("item_no", lone=True)), ("why", "kind", "size")),
+    Child("verdict", (Each("kfac", "kfac"), Field("seeds"), Each("seed_no", "seed")), ("status", "reason", "metrics")),
+    Child("cex", (Each("kfac", "kfac"), Field("seeds"), Each("seed_no", "seed"), Field("cex"), Items("item_no", lone=True)), ("why", "kind", "size", "input", "expected", "got")),
 ]
 METRICS = [Child("item", (Items("item_no", anywhere=True),), ("size", "itrs", "depth"))]
+#: The same with the field's name, and the objects that are fields themselves.
+METRIC_OBJECTS = [
+    Child("item", (Items("item_no", anywhere=True, named="field"),), ("size", "itrs", "depth")),
+    Child("field", (Members("field"),), ("v", "unit")),
+]
 LINKS = ["kfac", "seed_no", "item_no"]

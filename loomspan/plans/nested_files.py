@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.operators import compact, drift
-from loomspan.operators.nested import LINKS, METRICS, SEEDS, flatten_nested
+from loomspan.operators.nested import LINKS, METRIC_OBJECTS, METRICS, SEEDS, flatten_nested
 from loomspan.plans.registry import Registry
 from loomspan.sources.tables import table
 
@@ -52,10 +52,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return seeds.unionByName(items).select("src", "rec_id", "child", *LINKS)
 
 
+VERDICT_FIELDS = ["size", "pass", "status", "reason", "why", "kind", "metrics", "input", "expected", "got"]
+#: p1_verdicts as SQL, but for the layout of inner JSON, which duckdb writes anew and the query gives as written.
+P1_VERDICTS_SQL = P1_SQL[: P1_SQL.index(",\nm as (")] + f"""
+select rec_id, 'width' child, coalesce(kfac, -1) kfac, cast(-1 as bigint) seed_no, cast(-1 as bigint) item_no, {", ".join(f"json_extract_string(w, '$.{c}') {c}" if c in ("size", "pass") else f"cast(null as varchar) {c}" for c in VERDICT_FIELDS)}
+from width where json_type(w) = 'OBJECT'
+union all select rec_id, 'verdict', coalesce(kfac, -1), coalesce(seed_no, -1), -1, {", ".join(f"json_extract_string(v, '$.{c}')" if c in ("status", "reason", "metrics") else "null" for c in VERDICT_FIELDS)}
+from verdict where json_type(v) = 'OBJECT'
+union all select rec_id, 'cex', coalesce(kfac, -1), coalesce(seed_no, -1), item_no, {", ".join(f"json_extract_string(c, '$.{c}')" if c in ("why", "kind", "size", "input", "expected", "got") else "null" for c in VERDICT_FIELDS)}
+from cex where json_type(c) = 'OBJECT'
+"""
+
+
 @R.query("p1_verdicts")
 def p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """The flat tables of seeds with their own fields."""
-    return flatten_nested(table(spark, d, "results"), ["rec_id"], "seeds", SEEDS, LINKS, ["size", "pass", "status", "reason", "why", "kind"])
+    return flatten_nested(table(spark, d, "results"), ["rec_id"], "seeds", SEEDS, LINKS, VERDICT_FIELDS)
 
 
 P1_ITEMS_SQL = """
@@ -72,6 +84,22 @@ def p1_items(spark: SparkSession, d: str) -> DataFrame:
     return flatten_nested(table(spark, d, "state"), ["row_id", "attempt_id"], "metrics", METRICS, LINKS, ["size", "itrs", "depth"])
 
 
+P1_METRICS_SQL = """
+with m as (select row_id, attempt_id, cast(metrics as json) j from state where json_valid(metrics)),
+f as (select row_id, attempt_id, k, json_extract(j, '$."' || k || '"') x from (select *, unnest(json_keys(j)) k from m where json_type(j) = 'OBJECT')),
+item as (select row_id, attempt_id, k, unnest(range(len(cast(x as json[])))) item_no, unnest(cast(x as json[])) c from f where json_type(x) = 'ARRAY')
+select row_id, attempt_id, 'item' child, cast(-1 as bigint) kfac, cast(-1 as bigint) seed_no, item_no, k as field, json_extract_string(c, '$.size') size, json_extract_string(c, '$.itrs') itrs, json_extract_string(c, '$.depth') depth, null v, null unit
+from item where json_type(c) = 'OBJECT'
+union all select row_id, attempt_id, 'field', -1, -1, -1, k, null, null, null, json_extract_string(x, '$.v'), json_extract_string(x, '$.unit') from f where json_type(x) = 'OBJECT'
+"""
+
+
+@R.query("p1_metrics", P1_METRICS_SQL)
+def p1_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The inner objects of metrics, in lists or fields themselves, with the name of their field."""
+    return flatten_nested(table(spark, d, "state"), ["row_id", "attempt_id"], "metrics", METRIC_OBJECTS, LINKS, ["size", "itrs", "depth", "v", "unit"], ["field"])
+
+
 @R.query("p4_found")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return compact.consolidated_attempts(compact.compact(table(spark, d, "state_files")))
