@@ -2,14 +2,16 @@
 
 Tagged-union inference: the structural index gives each field of each record with its JSON type; counts by
 (batch, field, type) are fused over all batches, all types of a field are kept, and a field with conflicting types
-becomes typed branches plus a canonical text. Changes are read off the fused counts.
+becomes typed branches plus a canonical text. Changes are read off the fused counts. Paths of inner values read
+a.b and a[].b; a name with other signs than letters, digits and _ of ASCII stands in quotes there.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.operators import json_index as J
@@ -19,6 +21,7 @@ from loomspan.sources.tables import map_arrow
 
 #: A batch has a field if one in SHARE of its readable records holds it.
 SHARE = 5
+PLAIN = "^[A-Za-z0-9_]+$"
 
 
 def _top_fields(t: J.Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -31,6 +34,36 @@ def _top_fields(t: J.Tokens) -> tuple[np.ndarray, np.ndarray]:
     return top, np.flatnonzero(t.is_value & place[t.container] & (t.container >= 0))
 
 
+def _quoted(names: pa.Array) -> pa.Array:
+    return pc.if_else(pc.match_substring_regex(names, PLAIN), names, pc.binary_join_element_wise('"', names, '"', ""))
+
+
+def _in_path(name: Column) -> Column:
+    return F.when(name.rlike(PLAIN), name).otherwise(F.concat(F.lit('"'), name, F.lit('"')))
+
+
+def _all_values(t: J.Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Tokens of whole objects; those of all values in them; the field that each lies in, and the rest of its path without and with the places in lists."""
+    top, at = _top_fields(t)
+    values = np.flatnonzero(t.is_value & (t.container >= 0)) if len(t.kind) else at
+    root, rest, place = at, pa.array([""] * len(at), pa.string()), pa.array([""] * len(at), pa.string())
+    levels = [(at, root, rest, place)]
+    while len(at):
+        number = np.full(len(t.kind), -1, np.int64)
+        number[at] = np.arange(len(at))
+        owner = number[t.container[values]]
+        at, owner = values[owner >= 0], owner[owner >= 0]
+        key = t.key[at]
+        named, of = pa.array(key >= 0), np.maximum(key, 0)
+        name = pc.binary_join_element_wise(".", _quoted(J.gather(t.data, np.where(key >= 0, t.start[of] + 1, 0), np.where(key >= 0, t.end[of] - 1, 0))), "")
+        item = pc.binary_join_element_wise("[", pa.array(t.item[at]).cast(pa.string()), "]", "")
+        owned = pa.array(owner)
+        rest, place = pc.binary_join_element_wise(rest.take(owned), pc.if_else(named, name, "[]"), ""), pc.binary_join_element_wise(place.take(owned), pc.if_else(named, name, item), "")
+        root = root[owner]
+        levels.append((at, root, rest, place))
+    return top, np.concatenate([x[0] for x in levels]), np.concatenate([x[1] for x in levels]), pa.concat_arrays([x[2] for x in levels]), pa.concat_arrays([x[3] for x in levels])
+
+
 def _kinds(t: J.Tokens, at: np.ndarray) -> pa.Array:
     names, codes = np.unique(J.type_names(t, at), return_inverse=True)
     return pa.array(names.tolist(), pa.string()).take(pa.array(codes))
@@ -62,17 +95,41 @@ def fields(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     return map_arrow(df.select(*ids, F.col(text).alias("__text")), "__text", one, schema)
 
 
-def type_counts(df: DataFrame, batch: list[str], text: str) -> DataFrame:
-    """(batch..., field, kind, n): how often each alternative occurs, counted within each Arrow batch already; field and kind are null for the records themselves."""
+def inner_fields(df: DataFrame, ids: list[str], text: str) -> DataFrame:
+    """(ids..., field, rest, place, kind, value): fields with all values in them; rest and place are what follows the field in the value's path, empty for the field itself.
+
+    place has the places in lists, as in [1].itrs, rest has not, as in [].itrs.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        t = J.index(batch.column("__text"))
+        _, at, root, rest, place = _all_values(t)
+        if not len(at):
+            return None
+        names = J.gather(t.data, t.start[t.key[root]] + 1, t.end[t.key[root]] - 1)
+        columns = [batch.column(c).take(pa.array(t.doc[at])) for c in ids] + [names, rest, place, _kinds(t, at), J.gather(t.data, *J.inner_spans(t, at))]
+        return pa.RecordBatch.from_arrays(columns, names=[*ids, "field", "rest", "place", "kind", "value"])
+
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ids] + ["field string", "rest string", "place string", "kind string", "value string"])
+    return map_arrow(df.select(*ids, F.col(text).alias("__text")), "__text", one, schema)
+
+
+def type_counts(df: DataFrame, batch: list[str], text: str, inner: bool = False) -> DataFrame:
+    """(batch..., field, kind, n): how often each alternative occurs, counted within each Arrow batch already; field and kind are null for the records themselves.
+
+    inner: by the full path of all values, in place of the fields alone.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     names = [*batch, "field", "kind"]
 
     def one(rows: pa.RecordBatch) -> pa.RecordBatch | None:
         t = J.index(rows.column("__text"))
-        top, at = _top_fields(t)
+        top, at, root, rest, _ = _all_values(t) if inner else (*(x := _top_fields(t)), x[1], None, None)
         if not len(top):
             return None
-        found = J.gather(t.data, t.start[t.key[at]] + 1, t.end[t.key[at]] - 1)
+        found = J.gather(t.data, t.start[t.key[root]] + 1, t.end[t.key[root]] - 1)
+        found = pc.binary_join_element_wise(_quoted(found), rest, "") if inner else found
         place = pa.array(np.concatenate([t.doc[top], t.doc[at]]))
         none = pa.nulls(len(top), pa.string())
         columns = [rows.column(c).take(place) for c in batch] + [pa.concat_arrays([none, x]) for x in (found, _kinds(t, at))]
@@ -84,14 +141,30 @@ def type_counts(df: DataFrame, batch: list[str], text: str) -> DataFrame:
     return counts.groupBy(*names).agg(F.sum("n").alias("n"))
 
 
-def union_types(df: DataFrame, batch: list[str], text: str) -> DataFrame:
-    """(batch..., field, kind, n, n_objects, n_held): alternatives of each field in each batch, of all records."""
-    counts = type_counts(df, batch, text)
+def union_types(df: DataFrame, batch: list[str], text: str, inner: bool = False) -> DataFrame:
+    """(batch..., field, kind, n, n_objects, n_held): alternatives of each field, or with inner of each path, in each batch, of all records."""
+    counts = type_counts(df, batch, text, inner)
     objects = F.max(F.when(F.col("field").isNull(), F.col("n"))).over(Window.partitionBy(*batch))
     held = F.sum("n").over(Window.partitionBy(*batch, "field"))
     return counts.withColumn("n_objects", objects).withColumn("n_held", held).where("field is not null")
 
 
+def new_types(df: DataFrame, shard: str, batch: str, text: str) -> DataFrame:
+    """(shard, batch, path, kind, n, n_held, n_objects, path_is_new): alternatives, however rare, that the shard's previous batch doesn't hold at that path.
+
+    The previous batch is the one before it with readable records; the first has none. path_is_new: that batch doesn't hold the path at all.
+    """
+    counts = written(type_counts(df.where(F.col(shard).isNotNull() & F.col(batch).isNotNull()), [shard, batch], text, True), "paths")
+    # a batch of empty records has no path, but is a batch
+    batches = counts.where("field is null").select(shard, batch, F.col("n").alias("n_objects"), F.lag(batch).over(Window.partitionBy(shard).orderBy(batch)).alias("before"))
+    types = counts.where("field is not null").withColumn("n_held", F.sum("n").over(Window.partitionBy(shard, batch, "field")))
+    now = types.join(batches.where("before is not null"), [shard, batch])
+    old = types.select(F.col(shard), F.col(batch).alias("before"), "field", "kind")
+    held = old.select(shard, "before", "field").distinct().withColumn("held", F.lit(True))
+    fresh = now.join(old, [shard, "before", "field", "kind"], "left_anti").join(held, [shard, "before", "field"], "left")
+    return fresh.select(shard, batch, F.col("field").alias("path"), "kind", "n", "n_held", "n_objects", F.col("held").isNull().alias("path_is_new"))
+
+
 def batch_schemas(types: DataFrame, batch: list[str]) -> DataFrame:
     """(batch..., field, kind): fields that a batch has, with the commonest type of the non-null values.
 
@@ -164,9 +237,13 @@ def canonical_names(df: DataFrame, shard: str, batch: str, record: str, text: st
 
 
 def consistent_table(df: DataFrame, ids: list[str], shard: str, batch: str, record: str, text: str) -> DataFrame:
-    """typed_table with `name`, one for a field through all its renames; its own name where no batch knows it."""
-    rows = typed_table(df, ids, text).join(canonical_names(df, shard, batch, record, text), "field", "left")
-    return rows.withColumn("name", F.coalesce("name", "field"))
+    """typed_table of the fields and of all values in them, with `name`, one for a field through all its renames; its own name where no batch knows it.
+
+    path is the value's path under that name, as in per_size[].itrs; at is where it stands in the record, as in per_size[1].itrs.
+    """
+    rows = _typed(inner_fields(df, ids, text), [*ids, "field", "rest", "place"]).join(canonical_names(df, shard, batch, record, text), "field", "left")
+    rows = rows.withColumn("name", F.coalesce("name", "field"))
+    return rows.withColumn("path", F.concat(_in_path(F.col("name")), "rest")).withColumn("at", F.concat(_in_path(F.col("field")), "place")).drop("rest", "place")
 
 
 def typed_table(df: DataFrame, ids: list[str], text: str) -> DataFrame:
@@ -175,12 +252,15 @@ def typed_table(df: DataFrame, ids: list[str], text: str) -> DataFrame:
     A value stands in the branch of its own type; as_text is its canonical conversion, equal for 12, 12.0 and "12".
     Whole numbers beyond BIGINT stand in as_number alone.
     """
-    found = fields(df, ids, text).where("field is not null")
+    return _typed(fields(df, ids, text).where("field is not null"), [*ids, "field"])
+
+
+def _typed(found: DataFrame, columns: list[str]) -> DataFrame:
     number = F.expr("try_cast(value AS DOUBLE)")
     plain = F.col("value").rlike(r"^-?(0|[1-9][0-9]{0,17})(\.0+)?$")
     canonical = F.when(F.col("kind") == "null", None).when(plain, F.regexp_replace("value", r"\.0+$", "")).otherwise(F.col("value"))
     return found.select(
-        *ids, "field", "kind",
+        *columns, "kind",
         F.when(F.col("kind") == "integer", F.expr("try_cast(value AS BIGINT)")).alias("as_integer"),
         F.when(F.col("kind").isin("integer", "number"), number).alias("as_number"),
         F.when(F.col("kind") == "boolean", F.col("value") == "true").alias("as_boolean"),

@@ -153,7 +153,33 @@ def p5_types(spark: SparkSession, d: str) -> DataFrame:
     return drift.union_types(table(spark, d, "state"), ["shard", "batch_no"], "metrics")
 
 
+P5_PATHS_SQL = P5_SQL[: P5_SQL.index("f as (")] + """
+v as (select shard, batch_no, regexp_replace(substr(x.fullkey, 3), '\\[[0-9]+\\]', '[]', 'g') as path, case x.type when 'VARCHAR' then 'string' when 'BIGINT' then 'integer' when 'UBIGINT' then 'integer' when 'DOUBLE' then 'number' else lower(x.type) end kind from j, json_tree(j.m) x where x.fullkey <> '$'),
+c as (select shard, batch_no, path, kind, count(*) n from v group by all),
+o as (select shard, batch_no, count(*) n_objects from j group by all),
+t as (select c.shard, c.batch_no, path, kind, n, n_objects, cast(sum(n) over (partition by c.shard, c.batch_no, path) as bigint) n_held from c join o on o.shard is not distinct from c.shard and o.batch_no is not distinct from c.batch_no),
+"""
+
+
+@R.query("p5_paths", P5_PATHS_SQL + "z as (select 1) select * from t")
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Alternatives of each path at any depth in each batch; n_held counts values, so items of lists one by one."""
+    return drift.union_types(table(spark, d, "state"), ["shard", "batch_no"], "metrics", True).withColumnRenamed("field", "path")
+
+
+P5_NEW_TYPES_SQL = P5_PATHS_SQL + """b as (select shard, batch_no, lag(batch_no) over (partition by shard order by batch_no) before from o where shard is not null and batch_no is not null)
+select t.shard, t.batch_no, path, kind, n, n_held, n_objects, not exists (select 1 from t p where p.shard = b.shard and p.batch_no = b.before and p.path = t.path) as path_is_new
+from t join b on b.shard = t.shard and b.batch_no = t.batch_no
+where before is not null and not exists (select 1 from t p where p.shard = b.shard and p.batch_no = b.before and p.path = t.path and p.kind = t.kind)"""
+
+
+@R.query("p5_new_types", P5_NEW_TYPES_SQL)
+def p5_new_types(spark: SparkSession, d: str) -> DataFrame:
+    """Alternatives, rare ones too, when they first appear against the previous batch."""
+    return drift.new_types(table(spark, d, "state"), "shard", "batch_no", "metrics")
+
+
 @R.query("p5_table")
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    """Every field of every record under one name and in typed branches."""
+    """Every field of every record, and every value in it, under one name and in typed branches."""
     return drift.consistent_table(table(spark, d, "state"), ["row_id", "shard", "batch_no"], "shard", "batch_no", "attempt_id", "metrics")

@@ -61,3 +61,26 @@ def test_one_name_through_renames(spark):
     out = drift.consistent_table(df, ["attempt_id"], "shard", "batch_no", "attempt_id", "metrics").collect()
     assert len(out) == 23 and sum(r["name"] == "a" for r in out) == 12
     assert drift.consistent_table(df.limit(0), ["attempt_id"], "shard", "batch_no", "attempt_id", "metrics").collect() == []
+
+
+def test_values_at_any_depth(spark):
+    rows = [(0, 0, 1, {"ms": 12, "z": 1}), (0, 0, 2, {"ms": 3, "z": 1}), (0, 1, 1, {"t": 12, "z": {"v": 12, "unit": "ms"}}), (0, 1, 2, {"t": 3, "z": [{"a.b": 1.0}, [2, "x"]]})]
+    df = spark.createDataFrame([(*r[:3], json.dumps(r[3]), "k") for r in rows], SCHEMA)
+    out = drift.consistent_table(df, ["attempt_id", "batch_no"], "shard", "batch_no", "attempt_id", "metrics").where("batch_no = 1").collect()
+    assert sorted((r.attempt_id, r["at"], r.path, r.kind, r.as_text) for r in out) == [
+        (1, "t", "ms", "integer", "12"), (1, "z", "z", "object", '{"v": 12, "unit": "ms"}'), (1, "z.unit", "z.unit", "string", "ms"), (1, "z.v", "z.v", "integer", "12"),
+        (2, "t", "ms", "integer", "3"), (2, "z", "z", "array", '[{"a.b": 1.0}, [2, "x"]]'), (2, "z[0]", "z[]", "object", '{"a.b": 1.0}'), (2, 'z[0]."a.b"', 'z[]."a.b"', "number", "1"),
+        (2, "z[1]", "z[]", "array", '[2, "x"]'), (2, "z[1][0]", "z[][]", "integer", "2"), (2, "z[1][1]", "z[][]", "string", "x"),
+    ]
+
+
+def test_rare_alternatives_are_reported_when_new(spark):
+    rows = [(0, 0, i, {"a": 1, "l": [{"x": 1}]}) for i in range(9)] + [(0, 2, i, {"a": 1, "l": [{"x": 1}, {"x": "?"}]}) for i in range(8)]
+    rows += [(0, 2, 20, {"a": {"v": 1}}), (0, 3, 1, {}), (0, 4, 1, {"a": 1}), (0, 1, 1, "{cut"), (None, 5, 1, {"q": 1})]
+    df = spark.createDataFrame([(*r[:3], json.dumps(r[3]) if isinstance(r[3], dict) else r[3], "k") for r in rows], SCHEMA)
+    got = sorted(map(tuple, drift.new_types(df, "shard", "batch_no", "metrics").collect()))
+    assert got == [
+        (0, 2, "a", "object", 1, 9, 9, False), (0, 2, "a.v", "integer", 1, 1, 9, True), (0, 2, "l[].x", "string", 8, 16, 9, False),
+        (0, 4, "a", "integer", 1, 1, 1, True),
+    ]
+    assert drift.new_types(df.limit(0), "shard", "batch_no", "metrics").collect() == []
