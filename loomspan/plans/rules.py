@@ -104,6 +104,5 @@ def recon_profile(spark: SparkSession, d: str) -> DataFrame:
 def recon_slice(spark: SparkSession, d: str) -> DataFrame:
     """Whole clusters with about 500 nodes, those with a violated must-not-link pair first."""
     c = Case(spark, d)
-    canon = written(c.k.select((F.col("g") * 1000 + F.col("v")).alias("v"), (F.col("g") * 1000 + F.col("canonical")).alias("canonical"), "g"), "canon")
-    broken = recon.conflicts(canon.select("g", F.col("v") % 1000, F.col("canonical") % 1000).toDF("g", "v", "canonical"), c.m).select((F.col("g") * 1000 + F.col("canonical")).alias("canonical"))
-    return files.cluster_slice(canon.select("v", "canonical"), 500, broken)
+    canon = written(c.k, "canon")
+    return files.cluster_slice(canon, 500, recon.conflicts(canon, c.m), by=["g"])

@@ -60,18 +60,21 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def cluster_slice(canon: DataFrame, n: int, first: DataFrame | None = None, seed: int = 0) -> DataFrame:
-    """(v, canonical, id): whole clusters of about n nodes in all, those of `first` (canonical) before others, with ids 0 .. by a seeded order.
+def cluster_slice(canon: DataFrame, n: int, first: DataFrame | None = None, seed: int = 0, by: list[str] | None = None) -> DataFrame:
+    """(by..., v, canonical, id): whole clusters of about n nodes in all, those of `first` (canonical) before others, with ids 0 .. by a seeded order.
 
     Clusters are taken while their running size stays within n; the order is a hash, so it is the same each time.
+    by: columns within which v and canonical are told apart, such as the case.
     """
-    size = canon.groupBy("canonical").agg(F.count(F.lit(1)).alias("n__"))
-    ahead = first.select("canonical").distinct().withColumn("ahead__", F.lit(0)) if first is not None else None
-    size = size.join(ahead, "canonical", "left").fillna(1, ["ahead__"]) if ahead is not None else size.withColumn("ahead__", F.lit(1))
-    size = size.withColumn("key__", F.xxhash64("canonical", F.lit(seed))).withColumn("bin__", F.shiftright("key__", 52))
+    by = by or []
+    cluster = [*by, "canonical"]
+    size = canon.groupBy(*cluster).agg(F.count(F.lit(1)).alias("n__"))
+    ahead = first.select(*cluster).distinct().withColumn("ahead__", F.lit(0)) if first is not None else None
+    size = size.join(ahead, cluster, "left").fillna(1, ["ahead__"]) if ahead is not None else size.withColumn("ahead__", F.lit(1))
+    size = size.withColumn("key__", F.xxhash64(*cluster, F.lit(seed))).withColumn("bin__", F.shiftright("key__", 52))
     sums = size.groupBy("ahead__", "bin__").agg(F.sum("n__").alias("s__"))
     sums = sums.select("ahead__", "bin__", F.coalesce(F.sum("s__").over(Window.orderBy("ahead__", "bin__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b__"))
-    within = Window.partitionBy("ahead__", "bin__").orderBy("key__", "canonical").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("ahead__", "bin__").orderBy("key__", *cluster).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = size.withColumn("upto__", F.sum("n__").over(within)).join(sums, ["ahead__", "bin__"]).where(F.col("b__") + F.col("upto__") <= n)
-    rows = canon.join(taken.select("canonical", (F.col("b__") + F.col("upto__") - F.col("n__")).alias("from__")), "canonical")
-    return rows.select("v", "canonical", (F.col("from__") + F.row_number().over(Window.partitionBy("canonical").orderBy(F.xxhash64("v", F.lit(seed)), "v")) - 1).cast("bigint").alias("id"))
+    rows = canon.join(taken.select(*cluster, (F.col("b__") + F.col("upto__") - F.col("n__")).alias("from__")), cluster)
+    return rows.select(*by, "v", "canonical", (F.col("from__") + F.row_number().over(Window.partitionBy(*cluster).orderBy(F.xxhash64("v", F.lit(seed)), "v")) - 1).cast("bigint").alias("id"))

@@ -171,3 +171,21 @@ def test_staged_once(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("staged").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     query.awaitTermination(60)
     assert sorted(x.k for x in spark.table("staged").collect()) == [1, 2]
+
+
+def test_slice_tells_cases_apart(spark, tmp_path):
+    from loomspan.plans.rules import R
+
+    # node 1001 of case 0 and node 1 of case 1 were one node as g * 1000 + v
+    pairs = [(0, 0, 1001, 1002, 900), (0, 1, 5, 6, 900), (1, 0, 1, 2, 900), (1, 1, 2, 3, 900)]
+    spark.createDataFrame(pairs, "case_id bigint, pos bigint, u bigint, v bigint, score bigint").write.parquet(f"{tmp_path}/candidates.parquet")
+    spark.createDataFrame([(0, 1001, 1002), (1, 7, 8)], "case_id bigint, a bigint, b bigint").write.parquet(f"{tmp_path}/must_not_link.parquet")
+    spark.createDataFrame([], "case_id bigint, node bigint, attr_no bigint, attr_value bigint").write.parquet(f"{tmp_path}/node_attributes.parquet")
+    got = R.queries["recon_slice"](spark, str(tmp_path)).collect()
+    members = {}
+    for r in got:
+        members.setdefault((r.g, r.canonical), set()).add(r.v)
+    want = {(0, 1002): {1001, 1002}, (0, 6): {5, 6}, (1, 3): {1, 2, 3}}
+    assert {r.id for r in got if (r.g, r.canonical) == (0, 1002)} == {0, 1}  # the one cluster with a violated pair comes first
+    assert sorted(r.id for r in got) == list(range(len(got))) and len(got) <= 500
+    assert all(vs == want.get(k, {k[1]}) for k, vs in members.items())
