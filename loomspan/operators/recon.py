@@ -49,10 +49,10 @@ def deferred(ids: DataFrame, candidates: DataFrame, tau: int, cap: int) -> DataF
     return _value(ids, n)
 
 
-def singleton(probs: DataFrame, tau: Column) -> DataFrame:
-    """(g, value) for probs (g, i, p): the first of the most probable i if it reaches tau alone, else 6."""
-    best = probs.groupBy("g").agg(F.max("p").alias("p"), F.max_by("i", F.struct("p", -F.col("i"))).alias("i"))
-    return best.select("g", F.when(F.col("p") >= tau, F.col("i")).otherwise(F.lit(6)).cast("bigint").alias("value"))
+def singleton(probs: DataFrame, tau: Column, keys: tuple[str, ...] = ("g",)) -> DataFrame:
+    """(keys..., value) for probs (keys..., i, p): the first of the most probable i if it reaches tau alone, else 6."""
+    best = probs.groupBy(*keys).agg(F.max("p").alias("p"), F.max_by("i", F.struct("p", -F.col("i"))).alias("i"))
+    return best.select(*keys, F.when(F.col("p") >= tau, F.col("i")).otherwise(F.lit(6)).cast("bigint").alias("value"))
 
 
 def stage_once(proposals: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -72,6 +72,8 @@ plain("t5_decide_order", lambda c: recon.processing_order(c.c, TAU), ORDER)
 plain("t5_decide_top_k", lambda c: recon.processing_order(c.c, TAU).where("ord < 5"), f"select * from ({ORDER}) where ord < 5")
 plain("t5_decide_stage_cap", lambda c: recon.staged(c.c, TAU, 7).withColumn("deferred", F.lit(None).cast("bigint")).unionByName(recon.deferred(c.ids, c.c, TAU, 7).select("g", F.lit(-1).cast("bigint").alias("ord"), F.lit(None).cast("bigint").alias("u"), F.lit(None).cast("bigint").alias("v"), F.col("value").alias("deferred"))), f"select g, ord, u, v, null as deferred from ({ORDER}) where ord < 7 union all select n.g, -1, null, null, greatest(count(c.g) - 7, 0) from n left join c on c.g = n.g and score >= 600 group by n.g")
 plain("t5_decide_singleton", lambda c: recon.singleton(c.c.where("pos < 6 and score is not null").select("g", F.col("pos").alias("i"), F.col("score").alias("p")), F.lit(900)), "select g, case when max(score) >= 900 then max_by(pos, (score, -pos)) else 6 end as value from c where pos < 6 and score is not null group by g")
+# the contract takes six probabilities: all candidates, in groups of six by pos
+plain("t5_decide_singleton_all", lambda c: recon.singleton(c.c.where("score is not null").selectExpr("g", "pos div 6 as six", "pos % 6 as i", "score as p"), F.lit(900), ("g", "six")), "select g, pos // 6 as six, case when max(score) >= 900 then max_by(pos % 6, (score, -pos)) else 6 end as value from c where score is not null group by all")
 plain("t5_decide_stage_idem", lambda c: recon.stage_once(c.c.select("g", "pos", (F.col("u") % 6).alias("verb"), F.col("v").alias("target")), c.t.select("g", (F.col("value") % 6).alias("verb"), F.col("node").alias("target"), F.col("key").alias("status"))), "select g, min(pos) as pos, u % 6 as verb, v as target from c where not exists (select 1 from t where t.g = c.g and t.x % 6 = u % 6 and t.node = c.v and k in (0, 1)) group by g, u % 6, v")
 
 # --- cluster
