@@ -87,6 +87,7 @@ plain("t5_cluster_list", lambda c: recon.cluster_lists(c.k), "select g, row_numb
 plain("t5_cluster_emit", lambda c: recon.emitted(c.k), "select g, v as dup, canonical from k where v <> canonical")
 plain("t5_cluster_implied_unproposed", lambda c: recon.implied_unproposed(c.z, c.ok), "select z.g, cast(sum(n * (n - 1) // 2) as bigint) - (select count(*) from ok where ok.g = z.g) as value from z group by z.g")
 plain("t5_cluster_members_of", lambda c: recon.members_of(c.k, c.ids.withColumn("x", F.lit(3).cast("bigint"))), "select a.g, a.v as x, b.v as v from k a join k b using (g, canonical) where a.v = 3")
+plain("t5_cluster_members_of_all", lambda c: recon.members_of(k := written(c.k, "canon"), k.select("g", F.col("v").alias("x"))), "select a.g, a.v as x, b.v as v from k a join k b using (g, canonical)")
 plain("t5_cluster_canon_of", lambda c: c.k.where("v = 3").select("g", F.col("canonical").alias("value")), "select g, canonical as value from k where v = 3")
 plain("t5_cluster_same", lambda c: recon.same_cluster(c.k, c.c.select("g", "pos", F.col("u").alias("a"), F.col("v").alias("b"))), "select c.g, pos, cast(x.canonical = y.canonical as bigint) as value from c join k x on x.g = c.g and x.v = c.u join k y on y.g = c.g and y.v = c.v")
 
@@ -117,6 +118,8 @@ DEGREE = ", d2 as (select g, u k, v from e2 union all select g, v, u from e2) "
 add("t5_rewrite_degrees", lambda c: recon.rewritten_degrees(k := c.k, recon.rewritten(k, c.e)), NEW + DEGREE + "select z.g, z.canonical, count(d2.k) as value from z left join d2 on d2.g = z.g and d2.k = z.canonical group by all")
 add("t5_rewrite_neighbours", lambda c: recon.rewritten_neighbours(recon.rewritten(k := c.k, c.e), k.where("v = 3").select("g", F.col("canonical").alias("k"))), NEW + DEGREE + "select d2.g, d2.k, d2.v from d2 join k on k.g = d2.g and k.canonical = d2.k where k.v = 3")
 
+add("t5_rewrite_neighbours_all", lambda c: recon.rewritten_neighbours(recon.rewritten(k := written(c.k, "canon"), c.e), k.select("g", F.col("canonical").alias("k")).distinct()), NEW + DEGREE + "select g, k, v from d2")
+
 
 def pointers(c: Case) -> DataFrame:
     """Each node points to the largest partner of its accepted pairs, or to itself."""
@@ -157,6 +160,9 @@ add("t5_reconcile_full", lambda c: full(c)["edges"])
 add("t5_reconcile_full_props", lambda c: parts(full(c)))
 plain("recon_emit_new", lambda c: recon.emit_new(k := written(c.k, "canon"), recon.emitted(k).where("dup % 2 = 0")), "select g, v as dup, canonical from k where v <> canonical and v % 2 = 1")
 
+# known: what an earlier run at the higher threshold has emitted
+add("recon_emit_new_all", lambda c: recon.emit_new(c.k, recon.emitted(recon.canonical(c.v, recon.accepted(c.p, 800)))), TRUTH + "select g, v as dup, pred as canonical from lb where v <> pred and truth <> pred")
+
 
 def full(c: Case) -> dict[str, DataFrame]:
     return recon.reconcile_full(c.v, c.c, TAU, c.m, c.e, c.t)

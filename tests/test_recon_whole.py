@@ -26,8 +26,17 @@ def test_all_groups_of_six(spark, tmp_path):
     assert answers(spark, "t5_decide_singleton_all", tmp_path) == [(4, 0, 1), (4, 1, 6), (4, 2, 2)]
 
 
+def test_lookups_for_every_node(spark, tmp_path):
+    # clusters at 600: {0, 1, 2}, {3, 4}, {5}; at 800: {0, 1}, {3, 4}
+    put(spark, tmp_path, [(7, 0, 0, 1, 900), (7, 1, 1, 2, 700), (7, 2, 4, 3, 900), (7, 3, 2, 3, 100), (7, 4, 5, 0, None)])
+    clusters = [{0, 1, 2}, {3, 4}, {5}]
+    assert answers(spark, "t5_cluster_members_of_all", tmp_path) == sorted((7, x, v) for c in clusters for x in c for v in c)
+    assert answers(spark, "t5_rewrite_neighbours_all", tmp_path) == [(7, 2, 4), (7, 2, 5), (7, 4, 2), (7, 5, 2)]
+    assert answers(spark, "recon_emit_new_all", tmp_path) == [(7, 0, 2), (7, 1, 2)]  # even ids too; 3 -> 4 is known
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables here")
-@pytest.mark.parametrize("name", ["t5_decide_singleton_all"])
+@pytest.mark.parametrize("name", ["t5_decide_singleton_all", "t5_cluster_members_of_all", "t5_rewrite_neighbours_all", "recon_emit_new_all"])
 def test_against_sql(spark, name):
     import duckdb
 
