@@ -17,7 +17,7 @@ def test_prefix_sums_against_a_plain_sort(spark):
     rows = [(i, "a" if i % 3 else "b", 1 + i % 17, 0.1 + (i % 10) / 11) for i in range(3000)]
     df = docs(spark, rows)
     keys = {r.doc_id: r.key for r in df.select("doc_id", mixing.exponential_key(F.col("doc_id"), F.col("weight"), 5).alias("key")).collect()}
-    for bins in (1, 7, 4096):
+    for bins in (1, 7, 1024):
         got = {r.doc_id: r.before for r in mixing.ordered(df, 5, bins).collect()}
         for source in "ab":
             total = 0
@@ -62,3 +62,12 @@ def test_nothing_to_draw(spark, rows):
     (share,) = mixing.shares(docs(spark, rows), mixes).collect()
     assert share.n_tokens == 0 and share.actual_share == 0
     assert mixing.mixed(docs(spark, rows), mixes.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("weight", [0.1, 0.125, 0.5, 1.0])
+def test_no_bin_holds_much_of_a_source(spark, weight):
+    """Whatever the weights, a source's largest bin holds about 0.025 % of it."""
+    n = 200_000
+    keys = spark.range(n).select(mixing.exponential_key(F.col("id"), F.lit(weight), 0).alias("key"))
+    most = keys.groupBy(F.floor(F.log2("key") * mixing.BINS)).count().agg(F.max("count")).first()[0]
+    assert most < n * 0.00025 * 2

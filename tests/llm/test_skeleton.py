@@ -10,7 +10,8 @@ ALIKE = [
     ("hello", "ｈｅｌｌｏ"), ("a b", "a b"), ("a b", "a　b"), ("café", unicodedata.normalize("NFD", "café")), ("ab", "a​b"), ("ab", "﻿ab­"),
     ("scope", "ѕсоре"), ("TOP", "ΤΟΡ"), ("nu", "nս"), ("A", "𝐀"), ("ガ", "ｶﾞ"), ("ガ", "ガ"), ("x=1;", "ｘ＝１；"), ("", "‍"), ("ë", "ё"),
 ]
-DIFFERENT = [("cafe", "café"), ("m2", "m²"), ("l", "1"), ("O", "0"), ("a b", "a  b"), ("a\n", "a\r\n"), ("a", "A"), ("I", "l"), ("rn", "m"), ("a ", "a"), ("-", "—"), ("đ", "d"), ("ß", "β"), ("a\tb", "a b")]
+ALIKE += [("i", "ı"), ("i", "ɩ"), ("cosvwz", "ᴄᴏꜱᴠᴡᴢ"), ("o", "σ"), ("o", "ס"), ("o", "ه"), ("y", "ყ"), ("O", "𐐄"), ("o", "𐐬"), ("hU", "ᏂᏌ"), ("xX", "ꭓꞳ"), ("w", "ѡ"), ("csv", "ꮯꮪꮩ"), ("oc", "ⲟⲥ")]
+DIFFERENT = [("cafe", "café"), ("m2", "m²"), ("l", "1"), ("O", "0"), ("a b", "a  b"), ("a\n", "a\r\n"), ("a", "A"), ("I", "l"), ("rn", "m"), ("a ", "a"), ("-", "—"), ("đ", "d"), ("ß", "β"), ("a\tb", "a b"), ("-", "‐"), ("'", "’"), ("m", "ᴍ")]
 
 
 @pytest.mark.parametrize("a, b", ALIKE)
@@ -47,3 +48,18 @@ def test_forms_and_groups(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "a​b"), (3, None), (4, "ab"), (5, "")], "doc_id bigint, text string")
     assert sorted(map(tuple, S.skeletons(df, "doc_id", "text").collect()), key=str) == [(1, "ab"), (2, "ab"), (3, None), (4, "ab"), (5, "")]
     assert sorted(map(tuple, S.groups(df, "doc_id", "text").collect())) == [(1, 1, 3, 2), (2, 1, 3, 2), (4, 1, 3, 2), (5, 5, 1, 1)]
+
+
+def test_many_spellings_of_one_text(spark, monkeypatch):
+    """Marks without width make spellings at will: one look with many classes, some of many rows."""
+    monkeypatch.setattr(overlap, "PAIRS_A_TASK", 10)
+    texts = ["key" + "\u200b" * (i % 14) for i in range(70)] + ["key"] * 20
+    want = sorted((i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if a != b)
+    assert pairs(spark, texts) == want
+
+
+def test_a_public_table_adds_letters(tmp_path):
+    file = tmp_path / "confusables.txt"
+    file.write_text("# x\n0448 ;\t0077 ;\tMA\t# sh\n2019 ;\t0027 ;\tMA\n05D3 ; 0301 0302 ; MA\n")
+    assert S.read_confusables(str(file)) == {"ш": "w"}
+    assert S.prototypes(str(file))[ord("ш")] == "w" and ord("ш") not in S.prototypes()

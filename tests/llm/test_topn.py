@@ -32,15 +32,24 @@ def test_nulls_and_unmeasured(spark):
     assert best(spark, []) == []
 
 
-def test_hot_group_and_both_plans(spark, monkeypatch):
+def test_hot_group_and_both_plans(spark):
     df = spark.range(50_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 1000)).alias("g"), ((F.col("id") * 7919) % 5003).alias("s"), "id")
     want = {}
     for r in sorted(df.collect(), key=lambda r: (r.s, r.id)):
         want.setdefault(r.g, []).append(r.id)
     want = sorted((g, i + 1, x) for g, xs in want.items() for i, x in enumerate(xs[:5]))
-    assert sorted(map(tuple, topn.top_n(df, "g", [F.col("s")], "id", 5).collect())) == want
-    monkeypatch.setattr(topn, "_bounded_heap", lambda *_: None)
-    assert sorted(map(tuple, topn.top_n(df, "g", [F.col("s")], "id", 5).collect())) == want
+    assert topn.has_heap(df)
+    for heap in (None, True, False):
+        best = topn.top_n(df, "g", [F.col("s")], "id", 5, heap=heap)
+        assert ("collect_top_k" in best._jdf.queryExecution().toString()) == (heap is not False)
+        assert sorted(map(tuple, best.collect())) == want
+
+
+def test_asked_task_ids_alone(spark):
+    rows = [(i, i, p, "pass", 5, 9, at(0), "x") for i, p in enumerate(["a", "b", "A", None])] + [(9, 1, "a", "pass", 1, 1, at(1), "x")]
+    asked = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "pid string, rank_no int")
+    got = best_attempts(spark.createDataFrame(rows, SCHEMA), 5, asked)
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 1), ("a", 2, 0)]
 
 
 def test_repeated_rows_and_null_group(spark):
