@@ -83,6 +83,58 @@ def test_sections_of_single_guests(spark):
     assert all(x.n == 0 for x in kept) and {x.rule for x in kept} >= {"size", "limit", "apart"}
 
 
+def plain_units(rows, policy, mark):
+    """Section by section in the order of rows (idx, category, unit): a list of guests that the next unit or guest may join or not."""
+    names = lambda guests: {m for g in guests for m in mark.get(g[0], ())}
+    out, current, n, i = {}, [], 0, 0
+    for i, guest in enumerate(rows):
+        first = i == 0 or rows[i - 1][2] != guest[2]
+        coming = [r for r in rows if r[2] == guest[2]] if first else [guest]
+        fits = len(current) + len(coming) <= policy.size
+        for cats, k in policy.limits:
+            fits &= guest[1] not in cats or sum(g[1] in cats for g in current) + len(coming) <= k
+        for a, b in policy.apart:
+            fits &= not any({guest[1], g[1]} == {a, b} for g in current)
+        for j in range(len(policy.avoid)):
+            fits &= not ((j, 0) in names(coming) and (j, 1) in names(current) or (j, 1) in names(coming) and (j, 0) in names(current))
+        if current and not fits:
+            n, current = n + 1, []
+        current.append(guest)
+        out[guest[0]] = n
+    return out
+
+
+@pytest.mark.parametrize(("seed", "block"), [(1, 7), (2, 16), (3, 1 << 16)])
+def test_sections_in_blocks_against_one_by_one(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(seating, "BLOCK", block)
+    r = random.Random(seed)
+    charts = {g: [(i, r.randrange(7), r.choice([None, "X", "Y", "Z, W", "V"])) for i in range(r.randrange(1, 60))] for g in range(6)}
+    df = spark.createDataFrame([(g, i, f"n{i}", o, c) for g, cs in charts.items() for i, c, o in cs], "g bigint, idx bigint, name string, org string, category bigint")
+    policy = seating.parse("size 5\ntogether company\nlimit ai_lab chips 2\napart big_tech government\norder government ai_lab\navoid n3 Y\navoid X Z_W")
+    places, got = {}, {}
+    for u in seating.units(df, policy).collect():
+        places.setdefault(u.g, []).append((u.place, u.idx, u.category, u.unit, u.name, u.org))
+    for x in seating.sections(df, policy).collect():
+        got.setdefault(x.g, {})[x.idx] = x.section
+    for g, rows in places.items():
+        ranks = [({5: 0, 0: 1}.get(min((x for x in rows if x[3] == u[3]), key=lambda x: x[1])[2], 2), u[3], u[1]) for u in sorted(rows)]
+        assert ranks == sorted(ranks) and [p for p, *_ in sorted(rows)] == list(range(len(rows)))
+        marks = {i: {(j, s) for j, pair in enumerate(policy.avoid) for s in (0, 1) if pair[s] in (name, (org or "").replace(", ", "_"))} for _, i, _, _, name, org in rows}
+        assert got[g] == plain_units([(i, c, u) for _, i, c, u, _, _ in sorted(rows)], policy, marks)
+
+
+def test_posted(spark):
+    df = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 0)], "g bigint, idx bigint")
+    got = {(x.g, x.idx): x.section for x in seating.posted(df, 2).collect()}
+    walk = [0, 1, 2, 3, 7, 6, 5, 4, 8]
+    assert got == {(1, i): p // 2 for p, i in enumerate(walk)} | {(2, 0): 0}
+
+
+def test_no_guests(spark):
+    none = spark.createDataFrame([], "g bigint, idx bigint, name string, org string, category bigint")
+    assert seating.sections(none, seating.parse("size 3\navoid a b")).collect() == [] == seating.posted(none, 3).collect()
+
+
 def test_units_pairs_and_violations(spark):
     rows = [(0, "Ann B", "X", 1), (1, "Cy", None, 0), (2, "Di", "X", 1), (3, "Ed", "Y, Z", 4), (4, "Flo", None, 4), (5, "Gil", "Y, Z", 4)]
     df = spark.createDataFrame([(1, *r) for r in rows], "g bigint, idx bigint, name string, org string, category bigint")
