@@ -21,7 +21,6 @@ from loomspan.sources.tables import map_arrow
 
 #: A batch has a field if one in SHARE of its readable records holds it.
 SHARE = 5
-PLAIN = "^[A-Za-z0-9_]+$"
 
 
 def _top_fields(t: J.Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -34,12 +33,8 @@ def _top_fields(t: J.Tokens) -> tuple[np.ndarray, np.ndarray]:
     return top, np.flatnonzero(t.is_value & place[t.container] & (t.container >= 0))
 
 
-def _quoted(names: pa.Array) -> pa.Array:
-    return pc.if_else(pc.match_substring_regex(names, PLAIN), names, pc.binary_join_element_wise('"', names, '"', ""))
-
-
 def _in_path(name: Column) -> Column:
-    return F.when(name.rlike(PLAIN), name).otherwise(F.concat(F.lit('"'), name, F.lit('"')))
+    return F.when(name.rlike(J.PLAIN), name).otherwise(F.concat(F.lit('"'), name, F.lit('"')))
 
 
 def _all_values(t: J.Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
@@ -55,7 +50,7 @@ def _all_values(t: J.Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Arr
         at, owner = values[owner >= 0], owner[owner >= 0]
         key = t.key[at]
         named, of = pa.array(key >= 0), np.maximum(key, 0)
-        name = pc.binary_join_element_wise(".", _quoted(J.gather(t.data, np.where(key >= 0, t.start[of] + 1, 0), np.where(key >= 0, t.end[of] - 1, 0))), "")
+        name = pc.binary_join_element_wise(".", J.quoted(J.names(t.data, np.where(key >= 0, t.start[of] + 1, 0), np.where(key >= 0, t.end[of] - 1, 0))), "")
         item = pc.binary_join_element_wise("[", pa.array(t.item[at]).cast(pa.string()), "]", "")
         owned = pa.array(owner)
         rest, place = pc.binary_join_element_wise(rest.take(owned), pc.if_else(named, name, "[]"), ""), pc.binary_join_element_wise(place.take(owned), pc.if_else(named, name, item), "")
@@ -82,7 +77,7 @@ def fields(df: DataFrame, ids: list[str], text: str) -> DataFrame:
         top, at = _top_fields(t)
         if not len(top):
             return None
-        names = J.gather(t.data, t.start[t.key[at]] + 1, t.end[t.key[at]] - 1)
+        names = J.names(t.data, t.start[t.key[at]] + 1, t.end[t.key[at]] - 1)
         values = J.gather(t.data, *J.inner_spans(t, at))
         types = _kinds(t, at)
         rows = pa.array(np.concatenate([t.doc[top], t.doc[at]]))
@@ -107,7 +102,7 @@ def inner_fields(df: DataFrame, ids: list[str], text: str) -> DataFrame:
         _, at, root, rest, place = _all_values(t)
         if not len(at):
             return None
-        names = J.gather(t.data, t.start[t.key[root]] + 1, t.end[t.key[root]] - 1)
+        names = J.names(t.data, t.start[t.key[root]] + 1, t.end[t.key[root]] - 1)
         columns = [batch.column(c).take(pa.array(t.doc[at])) for c in ids] + [names, rest, place, _kinds(t, at), J.gather(t.data, *J.inner_spans(t, at))]
         return pa.RecordBatch.from_arrays(columns, names=[*ids, "field", "rest", "place", "kind", "value"])
 
@@ -128,8 +123,8 @@ def type_counts(df: DataFrame, batch: list[str], text: str, inner: bool = False)
         top, at, root, rest, _ = _all_values(t) if inner else (*(x := _top_fields(t)), x[1], None, None)
         if not len(top):
             return None
-        found = J.gather(t.data, t.start[t.key[root]] + 1, t.end[t.key[root]] - 1)
-        found = pc.binary_join_element_wise(_quoted(found), rest, "") if inner else found
+        found = J.names(t.data, t.start[t.key[root]] + 1, t.end[t.key[root]] - 1)
+        found = pc.binary_join_element_wise(J.quoted(found), rest, "") if inner else found
         place = pa.array(np.concatenate([t.doc[top], t.doc[at]]))
         none = pa.nulls(len(top), pa.string())
         columns = [rows.column(c).take(place) for c in batch] + [pa.concat_arrays([none, x]) for x in (found, _kinds(t, at))]

@@ -24,7 +24,7 @@ def together(facts: list[Fact], a: int, b: int, cap: int | None = None) -> bool:
             x = home[x]
         return x
 
-    for u, v, _, action in _merge(cap)(sorted(facts)):
+    for u, v, _, action, *_ in _merge(cap)(sorted(facts)):
         if action == "merge":
             home[top(u)] = top(v)
     return top(a) == top(b)

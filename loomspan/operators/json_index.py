@@ -7,10 +7,13 @@ scalar with its span, container, key and place. Nothing is parsed row by row.
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 QUOTE, OBJ, OBJ_END, ARR, ARR_END, COLON, COMMA, LINE, SCALAR, STRING = 1, 2, 3, 4, 5, 6, 7, 8, 9, 10
 
@@ -111,17 +114,66 @@ def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))).cast(pa.string())
 
 
+def decoded(raw: str) -> str:
+    """A JSON string's content with its escapes resolved; as written where it has half of a surrogate pair, which no text can hold."""
+    try:
+        text = json.loads(f'"{raw}"')
+        text.encode()
+    except (ValueError, UnicodeEncodeError):
+        return raw
+    return text
+
+
+def escaped(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which spans hold a backslash."""
+    slash = np.flatnonzero(data == 92)
+    if not len(slash):
+        return np.zeros(len(start), bool)
+    return np.searchsorted(slash, start) < np.searchsorted(slash, end)
+
+
+def names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans, contents of strings, as texts; those with escapes are decoded one by one."""
+    out = gather(data, start, end)
+    odd = np.flatnonzero(escaped(data, start, end))
+    if not len(odd):
+        return out
+    texts = out.to_pylist()
+    for i in odd:
+        texts[i] = decoded(texts[i])
+    return pa.array(texts, pa.string())
+
+
+#: A name that stands in a path as it is.
+PLAIN = "^[A-Za-z0-9_]+$"
+
+
+def quoted(found: pa.Array) -> pa.Array:
+    """Names as they stand in paths."""
+    return pc.if_else(pc.match_substring_regex(found, PLAIN), found, pc.binary_join_element_wise('"', found, '"', ""))
+
+
 def span_equals(data: np.ndarray, start: np.ndarray, end: np.ndarray, word: str) -> np.ndarray:
+    """Whether the spans, contents of strings, are the word, also where they are written with escapes."""
     raw = word.encode()
     same = (end - start) == len(raw)
     for i, c in enumerate(raw):
         at = np.flatnonzero(same)
         same[at] = data[start[at] + i] == c
+    odd = np.flatnonzero(escaped(data, start, end))
+    if len(odd):
+        same[odd] = [decoded(x) == word for x in gather(data, start[odd], end[odd]).to_pylist()]
     return same
 
 
 def span_integer(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The spans as whole numbers, -1 where a span isn't 1 to 18 digits (a minus sign may stand before)."""
+    """The spans as whole numbers, -1 where a span isn't 1 to 18 digits (a minus sign may stand before). Escapes count as what they stand for."""
+    odd = np.flatnonzero(escaped(data, start, end))
+    if len(odd):
+        words = [decoded(x) for x in gather(data, start[odd], end[odd]).to_pylist()]
+        out = span_integer(data, start, np.where(escaped(data, start, end), start, end))
+        out[odd] = [int(w) if re.fullmatch("-?[0-9]{1,18}", w) else -1 for w in words]
+        return out
     value, good = np.zeros(len(start), np.int64), (end > start)
     minus = good.copy()
     minus[good] = data[start[good]] == ord("-")

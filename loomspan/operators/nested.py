@@ -1,17 +1,20 @@
 """Deeply nested JSON texts into related flat tables.
 
 The structural index (json_index) gives spans and containers of a whole batch; a path description picks
-the objects and each comes out as a row that names its record and the outer objects it lies in.
+the objects and each comes out as a row that names its record and the outer objects it lies in: by numbers where
+names are numbers, by the names as texts, and by the outer row's own number `node`, which no form of the names can blur.
+every_object takes no description and gives all objects at any depth, with their paths.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomspan.operators import json_index as J
 from loomspan.sources.tables import map_arrow
@@ -19,10 +22,11 @@ from loomspan.sources.tables import map_arrow
 
 @dataclass(frozen=True)
 class Each:
-    """Members of an object, or items of a list. column gets the member's name, or the item's field, as a whole number."""
+    """Members of an object, or items of a list. column gets the member's name, or the item's field, as a whole number; named gets the same as text."""
 
     column: str
     field: str
+    named: str = ""
 
 
 @dataclass(frozen=True)
@@ -58,6 +62,11 @@ class Child:
     fields: tuple[str, ...] = ()
 
 
+ROW, OUTER = "row__", "outer__"
+#: Columns of an object's own number in its record, objects counted from 0 in the order of the text, and of the outer row's; -1 for none.
+NODES = ["node", "parent"]
+
+
 def _named(t: J.Tokens, at: np.ndarray, name: str) -> np.ndarray:
     key = t.key[at]
     return at[(key >= 0) & J.span_equals(t.data, t.start[key] + 1, t.end[key] - 1, name)]
@@ -74,7 +83,8 @@ def _members(t: J.Tokens, values: np.ndarray, of: np.ndarray) -> tuple[np.ndarra
 
 def _select(t: J.Tokens, values: np.ndarray, child: Child, columns: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     at = np.flatnonzero(t.is_value & (t.container < 0) & t.valid[t.doc]) if len(t.kind) else np.zeros(0, np.int64)
-    links = {c: np.full(len(at), -1, np.int64) for c in columns}
+    # ROW: the object that the last step into members or items led to; OUTER: the one before it
+    links = {c: np.full(len(at), -1, np.int64) for c in columns} | {ROW: at, OUTER: np.full(len(at), -1, np.int64)}
     for step in child.steps:
         inner, owner = _members(t, values, at)
         if isinstance(step, Field):
@@ -93,6 +103,10 @@ def _select(t: J.Tokens, values: np.ndarray, child: Child, columns: list[str]) -
             own = np.isin(fields, _named(t, fields, step.field)) & (key[of] < 0)
             number[of[own]] = J.span_integer(t.data, *J.inner_spans(t, fields[own]))
             links[step.column] = number
+            if step.named:
+                token = key.copy()
+                token[of[own]] = fields[own]
+                links[step.named] = token
         elif isinstance(step, Members):
             keep = (t.kind[inner] == J.OBJ) & (t.key[inner] >= 0)
             inner, owner = inner[keep], owner[keep]
@@ -114,6 +128,8 @@ def _select(t: J.Tokens, values: np.ndarray, child: Child, columns: list[str]) -
             if step.anywhere and step.named:
                 links[step.named] = t.key[t.container[inner]]
             inner = np.concatenate([inner, at[lone]])
+        if not isinstance(step, Field):
+            links |= {OUTER: links[ROW], ROW: inner}
         at = inner
     keep = t.kind[at] == J.OBJ
     return at[keep], {c: v[keep] for c, v in links.items()}
@@ -124,19 +140,27 @@ def texts(t: J.Tokens, at: np.ndarray) -> list[str | None]:
     out = J.gather(t.data, *J.inner_spans(t, at)).to_pylist()
     kinds = t.kind[at]
     null = (kinds == J.SCALAR) & (t.data[t.start[at]] == ord("n"))
-    return [None if z else json.loads(f'"{s}"') if k == J.STRING and "\\" in s else s for s, k, z in zip(out, kinds, null)]
+    return [None if z else J.decoded(s) if k == J.STRING and "\\" in s else s for s, k, z in zip(out, kinds, null)]
+
 
+def _numbers(t: J.Tokens, at: np.ndarray) -> np.ndarray:
+    """Place of each object among its record's objects, -1 for what is no object."""
+    objects = np.cumsum(t.kind == J.OBJ)
+    first = np.searchsorted(t.doc, t.doc[np.maximum(at, 0)]) if len(at) else at
+    before = np.concatenate([[0], objects])[first]
+    return np.where((at >= 0) & (t.kind[np.maximum(at, 0)] == J.OBJ), objects[np.maximum(at, 0)] - 1 - before, -1) if len(at) else at
 
-def flatten_nested(df: DataFrame, ids: list[str], text: str, children: list[Child], links: list[str], fields: list[str] | None = None, named: list[str] | None = None) -> DataFrame:
-    """Rows (ids..., child, links..., named..., fields...) of the objects that each child's steps lead to.
+
+def flatten_nested(df: DataFrame, ids: list[str], text: str, children: list[Child], links: list[str], fields: list[str] | None = None, named: list[str] | None = None, nodes: bool = False) -> DataFrame:
+    """Rows (ids..., child, links..., named..., fields...) of the objects that each child's steps lead to; with nodes also node and parent behind the links.
 
     A link that doesn't apply is -1, and null if it is one of named, which are texts. A text that is null or not one complete JSON text gives no rows, repeated
     rows count by themselves, a name that an object has twice gives a row for each, a field that is missing or
     null is null. Other columns of df are left out and may have any name. No shuffle: one pass over the input.
     """
-    fields, named = fields or [], named or []
+    fields, named, numbers = fields or [], named or [], NODES if nodes else []
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ids] + ["child string"] + [f"`{c}` bigint" for c in links] + [f"`{c}` string" for c in [*named, *fields]])
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ids] + ["child string"] + [f"`{c}` bigint" for c in [*links, *numbers]] + [f"`{c}` string" for c in [*named, *fields]])
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         t = J.index(batch.column("__text"))
@@ -151,6 +175,8 @@ def flatten_nested(df: DataFrame, ids: list[str], text: str, children: list[Chil
             rows = pa.array(t.doc[at])
             columns = [batch.column(c).take(rows) for c in ids] + [pa.array([child.name]).take(pa.array(np.zeros(len(at), np.int64)))]
             columns += [pa.array(link[c]) for c in links]
+            if nodes:
+                columns += [pa.array(_numbers(t, at)), pa.array(_numbers(t, link[OUTER]))]
             for c in named:
                 value = np.full(len(at), None, object)
                 value[link[c] >= 0] = texts(t, link[c][link[c] >= 0])
@@ -164,19 +190,88 @@ def flatten_nested(df: DataFrame, ids: list[str], text: str, children: list[Chil
                 value = np.full(len(at), None, object)
                 value[owner[keep]] = texts(t, inner[keep])
                 columns.append(pa.array(value, pa.string()))
-            parts.append(pa.RecordBatch.from_arrays(columns, names=[*ids, "child", *links, *named, *fields]))
+            parts.append(pa.RecordBatch.from_arrays(columns, names=[*ids, "child", *links, *numbers, *named, *fields]))
         return pa.concat_batches(parts) if parts else None
 
-    from pyspark.sql import functions as F
+    return map_arrow(df.select(*ids, F.col(text).alias("__text")), "__text", one, schema)
+
+
+def _descend(t: J.Tokens) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, pa.Array]:
+    """(tokens of all values, the nearest object around each or -1, paths within that object, and where whole paths are kept: containers and theirs)."""
+    at = np.flatnonzero(t.is_value & (t.container < 0) & t.valid[t.doc]) if len(t.kind) else np.zeros(0, np.int64)
+    values = np.flatnonzero(t.is_value & t.valid[t.doc] & (t.container >= 0)) if len(t.kind) else at
+    around, inside, whole = np.full(len(at), -1, np.int64), pa.array([""] * len(at), pa.string()), pa.array([""] * len(at), pa.string())
+    levels = [(at, around, inside, whole)]
+    while len(at):
+        inner, owner = _members(t, values, at)
+        key = t.key[inner]
+        of = np.maximum(key, 0)
+        name = J.quoted(J.names(t.data, np.where(key >= 0, t.start[of] + 1, 0), np.where(key >= 0, t.end[of] - 1, 0)))
+        item = pc.binary_join_element_wise("[", pa.array(t.item[inner]).cast(pa.string()), "]", "")
+        step = pc.if_else(pa.array(key >= 0), pc.binary_join_element_wise(".", name, ""), item)
+        by = pa.array(owner)
+        fresh = t.kind[at][owner] == J.OBJ
+        around = np.where(fresh, at[owner], around[owner])
+        inside = pc.binary_join_element_wise(pc.if_else(pa.array(fresh), "", inside.take(by)), step, "")
+        whole = pc.binary_join_element_wise(whole.take(by), step, "")
+        at = inner
+        levels.append((at, around, inside, whole))
+    order = np.argsort(np.concatenate([x[0] for x in levels]), kind="stable")
+    pick = lambda i: np.concatenate([x[i] for x in levels])[order]
+    text = lambda i: pa.concat_arrays([x[i] for x in levels]).take(pa.array(order))
+    return pick(0), pick(1), text(2), t.item, text(3)
+
+
+def every_object(df: DataFrame, ids: list[str], text: str) -> DataFrame:
+    """(ids..., node, parent, path, item_no): all objects of each record at any depth, in lists of lists too.
+
+    node counts a record's objects from 0, parent is that of the nearest object around, -1 for none; path reads .a[1].b, a name with other
+    signs than letters, digits and _ of ASCII in quotes; item_no is the place in a list, -1 for a member. Texts that are null or
+    not one complete JSON text give no rows; repeated rows and ids count by themselves. One pass, no shuffle.
+    """
 
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        t = J.index(batch.column("__text"))
+        at, around, _, item, whole = _descend(t)
+        keep = np.flatnonzero(t.kind[at] == J.OBJ) if len(at) else at
+        at, around = at[keep], around[keep]
+        rows = pa.array(t.doc[at] if len(at) else at)
+        columns = [batch.column(c).take(rows) for c in ids] + [pa.array(_numbers(t, at)), pa.array(_numbers(t, around)), whole.take(pa.array(keep))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.where(t.key[at] >= 0, -1, item[at]) if len(at) else at)], names=[*ids, *NODES, "path", "item_no"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ids] + ["node bigint, parent bigint, path string, item_no bigint"])
+    return map_arrow(df.select(*ids, F.col(text).alias("__text")), "__text", one, schema)
+
+
+def every_value(df: DataFrame, ids: list[str], text: str) -> DataFrame:
+    """(ids..., node, name, kind, value): all bare values of each record, with the node of the nearest object around (-1 for none) and the path from there.
+
+    The other half of every_object: both joined by (ids, node) hold all that the texts hold. Strings are decoded; a null value has kind null. An empty list has no row.
+    """
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        t = J.index(batch.column("__text"))
+        at, around, inside, _, _ = _descend(t)
+        keep = np.flatnonzero((t.kind[at] == J.STRING) | (t.kind[at] == J.SCALAR)) if len(at) else at
+        at, around = at[keep], around[keep]
+        if not len(at):
+            return None
+        names, codes = np.unique(J.type_names(t, at), return_inverse=True)
+        columns = [batch.column(c).take(pa.array(t.doc[at])) for c in ids] + [pa.array(_numbers(t, around)), inside.take(pa.array(keep))]
+        columns += [pa.array(names.tolist(), pa.string()).take(pa.array(codes)), pa.array(texts(t, at), pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=[*ids, "node", "name", "kind", "value"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ids] + ["node bigint, name string, kind string, value string"])
     return map_arrow(df.select(*ids, F.col(text).alias("__text")), "__text", one, schema)
 
 
 #: Paths of an evaluation line's seeds and of a submission's metrics.
 SEEDS = [
-    Child("width", (Each("kfac", "kfac"),), ("size", "pass")),
-    Child("verdict", (Each("kfac", "kfac"), Field("seeds"), Each("seed_no", "seed")), ("status", "reason", "metrics")),
-    Child("cex", (Each("kfac", "kfac"), Field("seeds"), Each("seed_no", "seed"), Field("cex"), Items("item_no", lone=True)), ("why", "kind", "size", "input", "expected", "got")),
+    Child("width", (Each("kfac", "kfac", "kfac_name"),), ("size", "pass")),
+    Child("verdict", (Each("kfac", "kfac", "kfac_name"), Field("seeds"), Each("seed_no", "seed", "seed_name")), ("status", "reason", "metrics")),
+    Child("cex", (Each("kfac", "kfac", "kfac_name"), Field("seeds"), Each("seed_no", "seed", "seed_name"), Field("cex"), Items("item_no", lone=True)), ("why", "kind", "size", "input", "expected", "got")),
 ]
 METRICS = [Child("item", (Items("item_no", anywhere=True),), ("size", "itrs", "depth"))]
 #: The same with the field's name, and the objects that are fields themselves.
@@ -185,3 +280,5 @@ METRIC_OBJECTS = [
     Child("field", (Members("field"),), ("v", "unit")),
 ]
 LINKS = ["kfac", "seed_no", "item_no"]
+#: The first two as texts, whatever they are.
+NAMES = ["kfac_name", "seed_name"]

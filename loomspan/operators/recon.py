@@ -136,8 +136,13 @@ def conflict_flags(canon: DataFrame, found: DataFrame) -> DataFrame:
     return canon.select("g", "canonical").distinct().join(bad, ["g", "canonical"], "left").fillna(0, ["value"])
 
 
+#: What a decision log tells of each pair: action merge, noop, must_not_link or size; the least must-not-link pair in its way; which of both
+#: reasons holds; and how large the clusters of u and v were at that time.
+LOG = "u bigint, v bigint, score bigint, action string, blocker_a bigint, blocker_b bigint, mnl_bad boolean, cap_bad boolean, n_u bigint, n_v bigint"
+
+
 def _merge(cap: int | None):  # noqa: ANN202
-    """Kernel: rows (kind, x, y, z) of one component; kind 0 must-not-link (a, b, 0), kind 1 accepted in order (-score, u, v)."""
+    """Kernel: rows (kind, x, y, z) of one component; kind 0 must-not-link (a, b, 0), kind 1 accepted in order (-score, u, v). Gives rows of LOG."""
 
     def kernel(rows: list[tuple]) -> list[tuple]:
         apart: dict[int, set[int]] = {}
@@ -156,42 +161,102 @@ def _merge(cap: int | None):  # noqa: ANN202
                 if x not in home:
                     home[x], group[x], foes[x] = x, [x], apart.get(x, set())
             a, b = home[u], home[v]
+            n_u, n_v = len(group[a]), len(group[b])
             if a == b:
-                out.append((u, v, -score, "noop"))
+                out.append((u, v, -score, "noop", None, None, False, False, n_u, n_v))
                 continue
-            if len(group[a]) > len(group[b]):
+            if n_u > n_v:
                 a, b = b, a
+            wall = None
             if any(x in foes[b] for x in group[a]):
-                out.append((u, v, -score, "must_not_link"))
-            elif cap is not None and len(group[a]) + len(group[b]) > cap:
-                out.append((u, v, -score, "size"))
-            else:
-                for x in group[a]:
-                    home[x] = b
-                group[b] += group.pop(a)
-                foes[b] = foes[b] | foes.pop(a)
-                out.append((u, v, -score, "merge"))
+                wall = min((min(x, y), max(x, y)) for x in group[a] for y in apart.get(x, ()) if home.get(y) == b)
+            large = cap is not None and n_u + n_v > cap
+            if wall or large:
+                out.append((u, v, -score, "must_not_link" if wall else "size", *(wall or (None, None)), wall is not None, large, n_u, n_v))
+                continue
+            for x in group[a]:
+                home[x] = b
+            group[b] += group.pop(a)
+            foes[b] = foes[b] | foes.pop(a)
+            out.append((u, v, -score, "merge", None, None, False, False, n_u, n_v))
         return out
 
     return kernel
 
 
+def _facts(nodes: DataFrame, pairs: DataFrame, must_not_link: DataFrame, cap: int | None) -> DataFrame:
+    """(g, label, kind, x, y, z): facts of the components in which a must-not-link pair lies or that are above cap, as _merge takes them."""
+    labels = written(components(nodes, pairs), "labels")
+    broken = conflicts(labels.withColumnRenamed("label", "canonical"), must_not_link).select("g", F.col("canonical").alias("label"))
+    if cap is not None:
+        large = labels.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
+        broken = broken.unionByName(large.select("g", "label"))
+    at = labels.join(broken.distinct(), ["g", "label"], "left_semi")
+    ends = lambda c: at.select("g", F.col("v").alias(c), "label")
+    fact = lambda kind, x, y, z: ["g", "label", F.lit(kind).alias("kind"), x.alias("x"), F.col(y).alias("y"), z.alias("z")]
+    links = pairs.join(ends("u"), ["g", "u"]).select(*fact(1, -F.col("score"), "u", F.col("v")))
+    walls = must_not_link.join(ends("a"), ["g", "a"]).select(*fact(0, F.col("a"), "b", F.lit(0).cast("bigint")))
+    return links.unionByName(walls)
+
+
 def decisions(nodes: DataFrame, pairs: DataFrame, must_not_link: DataFrame, cap: int | None = None) -> DataFrame:
-    """(g, u, v, score, action) for accepted pairs (g, u, v, score) in the components that need it: merge, noop, must_not_link or size.
+    """(g, LOG...) for accepted pairs (g, u, v, score) in the components that need it.
 
     Merges happen in order of score descending, u, v; one is skipped if it would bring a must-not-link pair together or
     a cluster above cap. Merges stay within components of the accepted pairs, so components without a violated
     pair and not above cap are final as they are and only the others go through the kernel, each whole in one task.
     """
-    labels = written(components(nodes, pairs), "labels")
-    broken = conflicts(labels.withColumnRenamed("label", "canonical"), must_not_link).select("g", F.col("canonical").alias("label"))
-    if cap is not None:
-        broken = broken.unionByName(labels.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("g", "label"))
-    broken = broken.distinct()
-    at = labels.join(broken, ["g", "label"], "left_semi")
-    links = pairs.join(at.select("g", F.col("v").alias("u"), "label"), ["g", "u"]).select("g", "label", F.lit(1).alias("kind"), (-F.col("score")).alias("x"), F.col("u").alias("y"), F.col("v").alias("z"))
-    walls = must_not_link.join(at.select("g", F.col("v").alias("a"), "label"), ["g", "a"]).select("g", "label", F.lit(0).alias("kind"), F.col("a").alias("x"), F.col("b").alias("y"), F.lit(0).cast("bigint").alias("z"))
-    return by_group(links.unionByName(walls), ["g", "label"], ["kind", "x", "y", "z"], _merge(cap), "u bigint, v bigint, score bigint, action string").drop("label")
+    return by_group(_facts(nodes, pairs, must_not_link, cap), ["g", "label"], ["kind", "x", "y", "z"], _merge(cap), LOG).drop("label")
+
+
+def _flips(cap: int | None):  # noqa: ANN202
+    """Kernel as _merge's, with whether each must-not-link refusal turns into something else when the pair changes places with one that shares a node and has another score."""
+    plain = _merge(cap)
+
+    def kernel(rows: list[tuple]) -> list[tuple]:
+        walls, links = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
+        near: dict[int, list[int]] = {}
+        for i, (_, _, u, v) in enumerate(links):
+            near.setdefault(u, []).append(i)
+            near.setdefault(v, []).append(i)
+        out = []
+        for i, row in enumerate(plain(rows)):
+            flips = False
+            if row[6] and not row[7]:
+                for j in sorted({*near[row[0]], *near[row[1]]} - {i}):
+                    if links[j][1] == links[i][1]:
+                        continue
+                    changed = list(links)
+                    changed[i], changed[j] = links[j], links[i]
+                    if plain(walls + changed)[j][3] != row[3]:
+                        flips = True
+                        break
+            out.append((*row, flips))
+        return out
+
+    return kernel
+
+
+def decision_pools(nodes: DataFrame, pairs: DataFrame, must_not_link: DataFrame, cap: int | None = None) -> DataFrame:
+    """(g, pool, u, v, score, reason, order_dependent): decisions by kind, for explanations to be drawn from.
+
+    MERGE: accepted pairs that ended in one cluster. Refusals with one reason alone: CAP by size; ORDER by a must-not-link pair, but
+    not if the pair changed places with one neighbour of another score; MNL the other ones. A refusal with both reasons is in no pool.
+    """
+    log = by_group(_facts(nodes, pairs, must_not_link, cap), ["g", "label"], ["kind", "x", "y", "z"], _flips(cap), LOG + ", flips boolean").drop("label")
+    log = written(log, "decisions")
+    key = ["g", "u", "v", "score"]
+    one = F.col("mnl_bad") != F.col("cap_bad")
+    pool = F.when(F.col("cap_bad"), "CAP").when(F.col("flips"), "ORDER").otherwise("MNL")
+    reason = F.when(F.col("cap_bad"), "size").otherwise("must_not_link")
+    refused = log.where("action in ('must_not_link', 'size')")
+    out = refused.where(one).select("g", pool.alias("pool"), "u", "v", "score", reason.alias("reason"), F.col("flips").alias("order_dependent"))
+    merged = pairs.select(*key).join(refused.select(*key), key, "left_anti")
+    # a pair that was refused can still end in one cluster by way of others
+    canon = canonical(nodes, merged)
+    ends = lambda c: canon.select("g", F.col("v").alias(c), F.col("canonical").alias(f"c{c}"))
+    inside = pairs.join(ends("u"), ["g", "u"]).join(ends("v"), ["g", "v"]).where("cu = cv")
+    return out.unionByName(inside.select("g", F.lit("MERGE").alias("pool"), "u", "v", "score", F.lit(None).cast("string").alias("reason"), F.lit(False).alias("order_dependent")))
 
 
 def constrained(nodes: DataFrame, pairs: DataFrame, must_not_link: DataFrame, cap: int | None = None) -> tuple[DataFrame, DataFrame]:

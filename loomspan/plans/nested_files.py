@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.operators import compact, drift
-from loomspan.operators.nested import LINKS, METRIC_OBJECTS, METRICS, SEEDS, flatten_nested
+from loomspan.operators.nested import LINKS, METRIC_OBJECTS, METRICS, NAMES, NODES, SEEDS, every_object, every_value, flatten_nested
 from loomspan.plans.registry import Registry
 from loomspan.sources.tables import table
 
@@ -52,22 +52,80 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return seeds.unionByName(items).select("src", "rec_id", "child", *LINKS)
 
 
+#: Fields of the flat tables of seeds, and which of them each table has.
 VERDICT_FIELDS = ["size", "pass", "status", "reason", "why", "kind", "metrics", "input", "expected", "got"]
-#: p1_verdicts as SQL, but for the layout of inner JSON, which duckdb writes anew and the query gives as written.
-P1_VERDICTS_SQL = P1_SQL[: P1_SQL.index(",\nm as (")] + f"""
-select rec_id, 'width' child, coalesce(kfac, -1) kfac, cast(-1 as bigint) seed_no, cast(-1 as bigint) item_no, {", ".join(f"json_extract_string(w, '$.{c}') {c}" if c in ("size", "pass") else f"cast(null as varchar) {c}" for c in VERDICT_FIELDS)}
+OWN_FIELDS = {c.name: c.fields for c in SEEDS}
+INNER = ("metrics", "input", "expected", "got")
+
+
+def _verdicts_sql(fields: list[str]) -> str:
+    """The flat tables with the names of their links; inner JSON comes in duckdb's own layout."""
+    pick = lambda child, x: ", ".join(f"json_extract_string({x}, '$.{c}') {c}" if c in OWN_FIELDS[child] else f"cast(null as varchar) {c}" for c in fields)
+    head = P1_SQL[: P1_SQL.index(",\nm as (")].replace("seeds as (", "seeds as materialized (")
+    head = head.replace("try_cast(k as bigint) kfac, json", "k kfac_name, try_cast(k as bigint) kfac, json").replace("select rec_id, try_cast(json_extract_string(w, '$.kfac') as bigint), w", "select rec_id, json_extract_string(w, '$.kfac'), try_cast(json_extract_string(w, '$.kfac') as bigint), w")
+    head = head.replace("rec_id, kfac", "rec_id, kfac_name, kfac").replace("try_cast(k as bigint) seed_no", "k seed_name, try_cast(k as bigint) seed_no")
+    head = head.replace("try_cast(json_extract_string(v, '$.seed') as bigint), v", "json_extract_string(v, '$.seed'), try_cast(json_extract_string(v, '$.seed') as bigint), v").replace("kfac, seed_no", "kfac, seed_name, seed_no")
+    return head + f"""
+select rec_id, 'width' child, coalesce(kfac, -1) kfac, cast(-1 as bigint) seed_no, cast(-1 as bigint) item_no, kfac_name, cast(null as varchar) seed_name, {pick("width", "w")}
 from width where json_type(w) = 'OBJECT'
-union all select rec_id, 'verdict', coalesce(kfac, -1), coalesce(seed_no, -1), -1, {", ".join(f"json_extract_string(v, '$.{c}')" if c in ("status", "reason", "metrics") else "null" for c in VERDICT_FIELDS)}
-from verdict where json_type(v) = 'OBJECT'
-union all select rec_id, 'cex', coalesce(kfac, -1), coalesce(seed_no, -1), item_no, {", ".join(f"json_extract_string(c, '$.{c}')" if c in ("why", "kind", "size", "input", "expected", "got") else "null" for c in VERDICT_FIELDS)}
-from cex where json_type(c) = 'OBJECT'
+union all select rec_id, 'verdict', coalesce(kfac, -1), coalesce(seed_no, -1), -1, kfac_name, seed_name, {pick("verdict", "v")} from verdict where json_type(v) = 'OBJECT'
+union all select rec_id, 'cex', coalesce(kfac, -1), coalesce(seed_no, -1), item_no, kfac_name, seed_name, {pick("cex", "c")} from cex where json_type(c) = 'OBJECT'
 """
 
 
+#: p1_verdicts as SQL, but for its numbers of nodes and the layout of inner JSON.
+P1_VERDICTS_SQL = _verdicts_sql(VERDICT_FIELDS)
+PLAIN_FIELDS = [c for c in VERDICT_FIELDS if c not in INNER]
+
+
 @R.query("p1_verdicts")
 def p1_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """The flat tables of seeds with their own fields."""
-    return flatten_nested(table(spark, d, "results"), ["rec_id"], "seeds", SEEDS, LINKS, VERDICT_FIELDS)
+    """The flat tables of seeds with their own fields, the names of their links, and node and parent by which rows of one record are joined."""
+    return flatten_nested(table(spark, d, "results"), ["rec_id"], "seeds", SEEDS, LINKS, VERDICT_FIELDS, NAMES, nodes=True)
+
+
+@R.query("p1_verdict_fields", _verdicts_sql(PLAIN_FIELDS))
+def p1_verdict_fields(spark: SparkSession, d: str) -> DataFrame:
+    """p1_verdicts without inner JSON and numbers of nodes."""
+    return p1_verdicts(spark, d).drop(*INNER, *NODES)
+
+
+P1_OBJECTS_SQL = """
+with recursive r as (select 'results' src, rec_id, try_cast(seeds as json) j from results where json_valid(seeds) union all select 'state', row_id, try_cast(metrics as json) from state where json_valid(metrics)),
+t as materialized (select src, rec_id, x.id, x.parent, x.type, x.fullkey from r, json_tree(r.j) x),
+o as (select *, row_number() over (partition by src, rec_id order by id) - 1 node from t where type = 'OBJECT'),
+up(src, rec_id, id, p) as (select src, rec_id, id, parent from o union all select u.src, u.rec_id, u.id, t.parent from up u join t on t.src = u.src and t.rec_id = u.rec_id and t.id = u.p and t.type = 'ARRAY')
+select o.src, o.rec_id, o.node, coalesce(q.node, -1) as parent, regexp_replace(substr(o.fullkey, 2), '\\."([A-Za-z0-9_]+)"', '.\\1', 'g') as path, coalesce(try_cast(regexp_extract(o.fullkey, '\\[([0-9]+)\\]$', 1) as bigint), -1) as item_no
+from o left join (select up.src, up.rec_id, up.id, q.node from up join o q on q.src = up.src and q.rec_id = up.rec_id and q.id = up.p) q on q.src = o.src and q.rec_id = o.rec_id and q.id = o.id
+"""
+
+
+def both(spark: SparkSession, d: str, f) -> DataFrame:  # noqa: ANN001
+    """f of the nested texts of both tables, with src."""
+    seeds = f(table(spark, d, "results"), ["rec_id"], "seeds").withColumn("src", F.lit("results"))
+    metrics = f(table(spark, d, "state").select(F.col("row_id").alias("rec_id"), "metrics"), ["rec_id"], "metrics").withColumn("src", F.lit("state"))
+    return seeds.unionByName(metrics)
+
+
+@R.query("p1_objects", P1_OBJECTS_SQL)
+def p1_objects(spark: SparkSession, d: str) -> DataFrame:
+    """All inner objects at any depth with their parents."""
+    return both(spark, d, every_object)
+
+
+P1_VALUES_SQL = P1_OBJECTS_SQL[: P1_OBJECTS_SQL.index("up(src")].replace("x.type, x.fullkey", "x.type, x.fullkey, x.atom") + """
+up(src, rec_id, id, p) as (select src, rec_id, id, parent from t where type not in ('OBJECT', 'ARRAY') union all select u.src, u.rec_id, u.id, t.parent from up u join t on t.src = u.src and t.rec_id = u.rec_id and t.id = u.p and t.type = 'ARRAY'),
+q as (select up.src, up.rec_id, up.id, o.node, o.fullkey from up join o on o.src = up.src and o.rec_id = up.rec_id and o.id = up.p)
+select t.src, t.rec_id, coalesce(q.node, -1) as node, regexp_replace(substr(t.fullkey, 1 + length(coalesce(q.fullkey, '$'))), '\\."([A-Za-z0-9_]+)"', '.\\1', 'g') as name,
+ case t.type when 'VARCHAR' then 'string' when 'BIGINT' then 'integer' when 'UBIGINT' then 'integer' when 'DOUBLE' then 'number' else lower(t.type) end as kind, json_extract_string(t.atom, '$') as value
+from t left join q on q.src = t.src and q.rec_id = t.rec_id and q.id = t.id where t.type not in ('OBJECT', 'ARRAY')
+"""
+
+
+@R.query("p1_values", P1_VALUES_SQL)
+def p1_values(spark: SparkSession, d: str) -> DataFrame:
+    """All bare values at any depth with the objects they are in."""
+    return both(spark, d, every_value)
 
 
 P1_ITEMS_SQL = """

@@ -96,10 +96,38 @@ BAD = "bad as (select m.g, a, b, x.canonical from m join k x on x.g = m.g and x.
 add("t5_conflict_count", lambda c: c.count(recon.conflicts(c.k, c.m)), BAD + "select n.g, count(bad.g) as value from n left join bad using (g) group by n.g")
 add("t5_conflict_pairs", lambda c: recon.conflicts(c.k, c.m), BAD + "select * from bad")
 add("t5_conflict_flags", lambda c: recon.conflict_flags(k := c.k, recon.conflicts(k, c.m)), BAD + "select z.g, z.canonical, cast(exists (select 1 from bad where bad.g = z.g and bad.canonical = z.canonical) as bigint) as value from z")
-add("t5_conflict_greedy", lambda c: recon.constrained(c.v, c.ok, c.m)[0])
-add("t5_conflict_greedy_cap", lambda c: recon.constrained(c.v, c.ok, c.m, CAP)[0])
-add("t5_conflict_skipped", lambda c: recon.constrained(c.v, c.ok, c.m, CAP)[1].where("action in ('must_not_link', 'size')"))
-add("recon_decision_log", lambda c: recon.constrained(c.v, c.ok, c.m, CAP)[1])
+# merging in order, one pair a step; home tells each node's cluster by one of its nodes
+GREEDY = """o as (select g, u, v, score, row_number() over (partition by g order by score desc, u, v) i from ok),
+ml as (select g, list([a, b] order by a, b) walls from (select distinct g, least(a, b) a, greatest(a, b) b from m) group by g),
+st(g, i, home, u, v, score, hu, hv, n_u, n_v, wall, large) as (
+  select g, 0::bigint, range(n), 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, null::bigint[], false from n
+  union all
+  select g, i, case when hu = hv or wall is not null or large then home else list_transform(home, lambda x: case when x = hu then hv else x end) end, u, v, score, hu, hv, n_u, n_v, wall, large
+  from (select *, hu <> hv and n_u + n_v > {cap} large, case when hu <> hv then list_filter(walls, lambda w: home[w[1] + 1] = hu and home[w[2] + 1] = hv or home[w[1] + 1] = hv and home[w[2] + 1] = hu)[1] end wall
+    from (select *, len(list_filter(home, lambda x: x = hu)) n_u, len(list_filter(home, lambda x: x = hv)) n_v
+      from (select o.g, o.i, home, o.u, o.v, o.score, home[o.u + 1] hu, home[o.v + 1] hv, walls from st join o on o.g = st.g and o.i = st.i + 1 left join ml on ml.g = st.g)))),
+lg as (select g, u, v, score, case when hu = hv then 'noop' when wall is not null then 'must_not_link' when large then 'size' else 'merge' end as action, wall[1] as blocker_a, wall[2] as blocker_b,
+  wall is not null as mnl_bad, large as cap_bad, n_u, n_v from st where i > 0),
+hm as (select g, unnest(range(len(home))) v, unnest(home) h from (select g, arg_max(home, i) home from st group by g)),
+kc as (select g, v, max(v) over (partition by g, h) canonical from hm)
+"""
+ANY_SIZE = GREEDY.format(cap=1 << 60)
+CAPPED = GREEDY.format(cap=CAP)
+add("t5_conflict_greedy", lambda c: recon.constrained(c.v, c.ok, c.m)[0], ANY_SIZE + "select g, v, canonical from kc")
+add("t5_conflict_greedy_cap", lambda c: recon.constrained(c.v, c.ok, c.m, CAP)[0], CAPPED + "select g, v, canonical from kc")
+
+
+def skipped(c: Case) -> DataFrame:
+    log = recon.constrained(c.v, c.ok, c.m, CAP)[1].where("action in ('must_not_link', 'size')")
+    return log.select("g", "u", "v", "score", "action")
+
+
+add("t5_conflict_skipped", skipped, CAPPED + "select g, u, v, score, action from lg where action in ('must_not_link', 'size')")
+# the log of the components that needed it: those with a must-not-link pair inside and those above the cap
+NEEDED = f"""select lg.* from lg join k on k.g = lg.g and k.v = lg.u where exists (select 1 from m join k x on x.g = m.g and x.v = m.a join k y on y.g = m.g and y.v = m.b
+where m.g = k.g and x.label = k.label and y.label = k.label) or (select n from z where z.g = k.g and z.canonical = k.canonical) > {CAP}"""
+add("recon_decision_log", lambda c: recon.constrained(c.v, c.ok, c.m, CAP)[1], CAPPED + NEEDED)
+add("recon_decision_pools", lambda c: recon.decision_pools(c.v, written(c.ok, "accepted"), c.m, CAP))
 
 # --- properties
 PROPS = "q as (select t.g, canonical, t.k as key, x, count(*) c from t join k on k.g = t.g and k.v = t.node where x is not null and t.k is not null group by all), w as (select g, canonical, key, max_by(x, (c, -x)) as value, count(*) n_values from q group by all) "
@@ -155,9 +183,13 @@ add("t5_metric_purity", lambda c: recon.metrics(labels(c)).select("g", F.col("pu
 
 # --- pipeline
 plain("t5_reconcile_canon", lambda c: recon.reconcile(c.v, c.c, TAU), "select g, v, canonical from k")
-add("t5_reconcile_canon_mnl", lambda c: full(c)["canon"])
-add("t5_reconcile_full", lambda c: full(c)["edges"])
-add("t5_reconcile_full_props", lambda c: parts(full(c)))
+# properties and rewritten edges of the clusters that merging in order leaves
+OWN = lambda sql: sql.replace("join k on", "join kc k on").replace("join k ", "join kc ")
+FULL = ANY_SIZE + ", " + OWN(NEW) + ", " + OWN(PROPS)
+add("t5_reconcile_canon_mnl", lambda c: full(c)["canon"], ANY_SIZE + "select g, v, canonical from kc")
+add("t5_reconcile_full", lambda c: full(c)["edges"], FULL + "select g, u, v, w from e2")
+add("t5_reconcile_full_props", lambda c: parts(full(c)), FULL + """select g, 0 as part, v as x, canonical as y, null as z from kc
+union all select g, 1, u, v, w from e2 union all select g, 2, canonical, key, value from w""")
 plain("recon_emit_new", lambda c: recon.emit_new(k := written(c.k, "canon"), recon.emitted(k).where("dup % 2 = 0")), "select g, v as dup, canonical from k where v <> canonical and v % 2 = 1")
 
 # known: what an earlier run at the higher threshold has emitted

@@ -4,7 +4,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from loomspan.operators.nested import LINKS, METRIC_OBJECTS, METRICS, SEEDS, flatten_nested
+from loomspan.operators.nested import LINKS, METRIC_OBJECTS, METRICS, NAMES, NODES, SEEDS, every_object, every_value, flatten_nested
 from loomspan.plans.nested_files import P1_METRICS_SQL, P1_VERDICTS_SQL
 
 SMALL = "/root/testdata/sf0.001"
@@ -65,13 +65,76 @@ def test_objects_that_are_fields(spark):
     ], key=str)
 
 
+def test_rows_find_their_outer_rows_whatever_the_names(spark):
+    """Names that are no numbers, equal names and list items without a name: node and parent still tell them apart."""
+    texts = [
+        '{"2x": {"size": 1, "seeds": {"a": {"cex": {"why": "1"}}}}, "4x": {"size": 2, "seeds": {"a": {"cex": [{"why": "2"}, {"why": "3"}]}}}, "4x": {"seeds": {"b": {}}}}',
+        '[{"seeds": [{"cex": {"why": "4"}}, {"seed": "s", "cex": {"why": "5"}}]}, {"seeds": {"7": {"cex": {"why": "6"}}}}]',
+        '{"8": {"se\\u0065ds": {"\\u0031": {"st\\u0061tus": "ok"}}}}',
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "rec_id bigint, seeds string")
+    got = flatten_nested(df, ["rec_id"], "seeds", SEEDS, LINKS, ["why", "status"], NAMES, nodes=True).collect()
+    at = {(r.rec_id, r.node): r for r in got}
+    assert len(at) == len(got)  # a node is a row's own
+    for r in got:
+        if r.child == "width":
+            assert r.parent == (0 if r.rec_id != 1 else -1)
+            continue
+        outer = at[(r.rec_id, r.parent)]
+        assert outer.child == {"verdict": "width", "cex": "verdict"}[r.child] and outer.kfac_name == r.kfac_name
+    path = lambda r: (r.why, r.kfac_name, r.seed_name)
+    assert sorted(map(path, (r for r in got if r.child == "cex")), key=str) == sorted([("1", "2x", "a"), ("2", "4x", "a"), ("3", "4x", "a"), ("4", None, None), ("5", None, "s"), ("6", None, "7")], key=str)
+    assert [(r.kfac, r.seed_no, r.status) for r in got if r.rec_id == 2 and r.child == "verdict"] == [(8, 1, "ok")]
+
+
+def test_every_object_and_value_against_a_parser(spark):
+    import random
+
+    r = random.Random(4)
+
+    def make(depth):
+        kind = r.choice("oaskn" if depth else "skn")
+        if kind == "o":
+            return {r.choice(["a", "b c", "é", "x1", 'q"']): make(depth - 1) for _ in range(r.randint(0, 3))}
+        if kind == "a":
+            return [make(depth - 1) for _ in range(r.randint(0, 3))]
+        return r.choice([1, 2.5, "t\n", "", None, True, "\u00e4"])
+
+    data = [make(5) for _ in range(200)]
+    texts = [json.dumps(x, ensure_ascii=bool(i % 2)) for i, x in enumerate(data)]
+    objects, values = [], []
+
+    def walk(i, x, path, inside, parent, item, count):
+        if isinstance(x, dict):
+            node, count[0] = count[0], count[0] + 1
+            objects.append((i, node, parent, path, item))
+            for k, v in x.items():
+                step = "." + (k if k.isascii() and k.replace("_", "").isalnum() else f'"{k}"')
+                walk(i, v, path + step, step, node, -1, count)
+        elif isinstance(x, list):
+            for n, v in enumerate(x):
+                walk(i, v, f"{path}[{n}]", f"{inside}[{n}]", parent, n, count)
+        else:
+            values.append((i, parent, inside, None if x is None else x if isinstance(x, str) else json.dumps(x)))
+
+    for i, x in enumerate(data):
+        walk(i, x, "", "", -1, -1, [0])
+    rows = [*enumerate(texts), (900, None), (901, ""), (902, '{"a": '), (903, '{"a": "\\ud800"}')]
+    df = spark.createDataFrame([(*x, 1, "c") for x in rows], "id bigint, text string, node int, path string")
+    assert sorted(map(tuple, every_object(df.where("id < 903"), ["id"], "text").collect())) == sorted(objects)
+    got = every_value(df, ["id"], "text").collect()
+    assert sorted([(v.id, v.node, v.name, v.value) for v in got if v.id < 900], key=str) == sorted(values, key=str)
+    assert [(v.name, v.value) for v in got if v.id == 903] == [(".a", "\\ud800")]  # half a surrogate pair stays as written
+    assert every_object(df.limit(0), ["id"], "text").collect() == [] == every_value(df.limit(0), ["id"], "text").collect()
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables here")
 @pytest.mark.parametrize(("name", "sql"), [("p1_verdicts", P1_VERDICTS_SQL), ("p1_metrics", P1_METRICS_SQL)])
 def test_fields_against_sql(spark, name, sql):
     """Field by field; duckdb writes inner JSON without blanks, so texts are compared as JSON values."""
     import duckdb
 
-    query = entry.queries()[name](spark, SMALL)
+    query = entry.queries()[name](spark, SMALL).drop(*NODES)
     con = duckdb.connect()
     for p in ("results", "state"):
         con.execute(f"create view {p} as select * from '{SMALL}/{p}.parquet'")
