@@ -6,10 +6,11 @@ cycle) come out as INF or as the contract of each operator says. All graphs run
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.operators.fixpoint import _top, by_chunks, components, fixpoint, improve, relax
+from loomspan.operators.fixpoint import _joined, _nodes, by_chunks, components, fixpoint, improve, in_chunks, relax
 from loomspan.session import written
 from loomspan.u24 import INF, wrap
 
@@ -19,6 +20,18 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.unionByName(turned)
 
 
+#: Vertices that one row stands for before they are written out.
+RANGE = 1 << 16
+
+
+def numbered(sizes: DataFrame) -> DataFrame:
+    """(g, v): vertices 0 .. n - 1 of each graph (g, n), by ranges that are spread over tasks, so that no task makes all of a large graph."""
+    spark = sizes.sparkSession
+    ranges = sizes.select("g", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {RANGE}"))).alias("r")).where("n > 0")
+    ranges = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g", "r")
+    return ranges.select("g", F.explode(F.sequence(F.col("r") * RANGE, F.least(F.col("n"), (F.col("r") + 1) * RANGE) - 1)).alias("v"))
+
+
 def graphs(vertices: DataFrame) -> DataFrame:
     return vertices.select("g").distinct()
 
@@ -43,17 +56,17 @@ def _from(sources: DataFrame) -> DataFrame:
 def hops(edges: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
     """(g, s, v, d): fewest edges from each source, at most limit."""
     unit = edges.select("g", "u", "v", F.lit(1).cast("bigint").alias("w"))
-    return relax(unit, _from(sources), lambda d, w: d + w, keep=None if limit is None else lambda d: d <= limit)
+    return relax(unit, _from(sources), "sum", most=limit)
 
 
 def distances(edges: DataFrame, sources: DataFrame, budget: int | None = None) -> DataFrame:
     """(g, s, v, d): least sum of weights; values above budget are pruned inside the loop."""
-    return relax(edges, _from(sources), lambda d, w: d + w, keep=None if budget is None else lambda d: d <= budget)
+    return relax(edges, _from(sources), "sum", most=budget)
 
 
 def bottlenecks(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(g, s, v, d): least possible largest weight on a path; 0 for the source itself."""
-    return relax(edges, _from(sources), lambda d, w: F.greatest(d, w))
+    return relax(edges, _from(sources), "most")
 
 
 def reach_count(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -236,7 +249,7 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         coloured = fixpoint(rest.select("g", "v", F.col("v").alias("c"), F.lit(True).alias("fresh")), colour)
         ends = inside.join(coloured.select("g", "v", F.col("c").alias("cv")), ["g", "v"]).join(coloured.select("g", F.col("v").alias("u"), F.col("c").alias("cu")), ["g", "u"])
         back = written(ends.where("cu = cv").select("g", F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).cast("bigint").alias("w")), "back")
-        found = relax(back, coloured.where("v = c").select("g", F.col("v").alias("s"), F.lit(0).cast("bigint").alias("d")), lambda d, w: d)
+        found = relax(back, coloured.where("v = c").select("g", F.col("v").alias("s"), F.lit(0).cast("bigint").alias("d")), "same")
         least = found.groupBy("g", "s").agg(F.min("v").alias("label"))
         new = written(found.select("g", "s", "v").join(least, ["g", "s"]).select("g", "v", "label"), "strong")
         done = new if done is None else done.unionByName(new)
@@ -334,20 +347,29 @@ def kcore_size(ids: DataFrame, core: DataFrame) -> DataFrame:
 def thinned(edges: DataFrame) -> DataFrame:
     """(g, u, v, w, chunk): edges of the lightest spanning forest of each chunk; an edge that isn't in it is in no larger one either."""
 
-    def kernel(g: list, u: list, v: list, w: list) -> list[tuple]:
-        parent: dict[tuple, tuple] = {}
-        out = []
-        chunk = hash((g[0], u[0], v[0], len(g))) >> 8  # tells chunks of one graph apart
-        for h, x, a, b in sorted(zip(g, w, map(min, u, v), map(max, u, v))):
-            for node in ((h, a), (h, b)):
-                parent.setdefault(node, node)
-            one, other = _top(parent, (h, a)), _top(parent, (h, b))
-            if one != other:
-                parent[one] = other
-                out.append((h, a, b, x, chunk))
-        return out
-
-    return by_chunks(edges, ["g", "u", "v", "w"], kernel, "g bigint, u bigint, v bigint, w bigint, chunk bigint")
+    def kernel(g: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+        """Every part takes its lightest edge to another, round by round; edges are told apart by (w, u, v)."""
+        u, v = np.minimum(u, v), np.maximum(u, v)
+        order = np.lexsort((v, u, w))
+        g, u, v, w = g[order], u[order], v[order], w[order]
+        graph, name, at = _nodes(np.concatenate([g, g]), np.concatenate([u, v]))
+        a, b = at[: len(g)], at[len(g) :]
+        label, alive, chosen = np.arange(len(name)), np.arange(len(g)), [np.zeros(0, np.int64)]
+        while True:
+            one, other = label[a[alive]], label[b[alive]]
+            apart = one != other
+            if not apart.any():
+                break
+            alive, one, other = alive[apart], one[apart], other[apart]
+            best = np.full(len(name), len(g))
+            np.minimum.at(best, one, alive)
+            np.minimum.at(best, other, alive)
+            chosen.append(np.unique(best[best < len(g)]))
+            label = _joined(len(name), label[a[chosen[-1]]], label[b[chosen[-1]]])[label]
+        kept = np.concatenate(chosen)
+        return [g[kept], u[kept], v[kept], w[kept]]
+
+    return by_chunks(edges, ["g", "u", "v", "w"], kernel, ["g", "u", "v", "w"])
 
 
 def spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -357,11 +379,11 @@ def spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     component takes its least edge to another.
     """
     thin = written(thinned(edges.where("u <> v")), "thin")
-    large = thin.groupBy("g").agg(F.count_distinct("chunk").alias("n")).where("n > 1").select("g")
+    large = in_chunks(thin)
     done = thin.join(large, "g", "left_anti").select("g", "u", "v", "w")
+    if large.isEmpty():
+        return thin.select("g", "u", "v", "w")
     rest = written(thin.join(large, "g", "left_semi").select("g", "u", "v", "w"), "rest")
-    if rest.isEmpty():
-        return done
     return done.unionByName(_by_rounds(vertices.join(large, "g", "left_semi"), rest))
 
 

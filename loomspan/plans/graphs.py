@@ -37,7 +37,7 @@ class Case:
     def __init__(self, spark: SparkSession, d: str):
         rows = table(spark, d, "candidates").where("u <> v and score is not null").select(F.col("case_id").alias("g"), "u", "v", "score")
         self.n = rows.groupBy("g").agg((F.max(F.greatest("u", "v")) + 1).alias("n"))
-        self.v = self.n.select("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("v"))
+        self.v = graph.numbered(self.n)
         self.e = rows.groupBy("g", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg((F.min("score") + 1).alias("w"))
         self.a = rows.groupBy("g", "u", "v").agg((F.min("score") + 1).alias("w"))
         self.ids = self.n.select("g")
@@ -145,8 +145,8 @@ add("t3_max_flow", lambda c: kernels.by_group(c.a.join(c.st, "g"), ["g", "s", "t
 
 
 def c_sides(c: Case) -> Case:
-    """The arcs as edges from a left to a right side with numbers of their own."""
-    right = c.a.withColumn("v", F.col("v") + 1_000_000)
+    """The arcs as edges from a left to a right side: even numbers on the left, odd ones on the right."""
+    right = c.a.withColumns({"u": F.col("u") * 2, "v": F.col("v") * 2 + 1})
     c.e = right
     c.v = right.select("g", F.col("u").alias("v")).union(right.select("g", "v")).distinct()
     return c

@@ -36,7 +36,7 @@ class Case:
         self.t = table(spark, d, "node_attributes").select(F.col("case_id").alias("g"), "node", F.col("attr_no").alias("key"), F.col("attr_value").alias("value"))
         most = self.c.select("g", F.greatest("u", "v").alias("n")).union(self.m.select("g", F.greatest("a", "b"))).union(self.t.select("g", "node"))
         self.n = most.groupBy("g").agg((F.max("n") + 1).alias("n"))
-        self.v = self.n.select("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("v"))
+        self.v = graph.numbered(self.n)
         self.ids = self.n.select("g")
         self.p = recon.normalised(self.c)
         self.ok = recon.accepted(self.p, TAU)
