@@ -7,11 +7,11 @@ spark.sql.adaptive.advisoryPartitionSizeInBytes asks for. Reading a pack checks
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -75,9 +75,12 @@ def pack(files: DataFrame, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     return files.mapInArrow(lambda batches: _pack(batches, frame_bytes), PACK_SCHEMA)
 
 
-def compact(files: DataFrame, frame_bytes: int = FRAME_BYTES) -> DataFrame:
-    """The packs of files, written to the shared folder; frames are merged into few files by adaptive rebalancing."""
-    return written(pack(files, frame_bytes).hint("rebalance"), "packs", compression="none")
+def compact(files: DataFrame, folder: str | None = None, frame_bytes: int = FRAME_BYTES) -> DataFrame:
+    """The packs of files, written to folder, which must not exist yet; frames are merged into few files by adaptive rebalancing.
+
+    Without a folder they are an intermediate table of the shared folder. Read them again by spark.read.parquet(folder).
+    """
+    return written(pack(files, frame_bytes).hint("rebalance"), "packs", folder, compression="none")
 
 
 def open_frame(frame: bytes, raw_bytes: int, raw_check: int) -> bytes:
@@ -121,24 +124,26 @@ def concat_frames(frames: Iterable[bytes]) -> bytes:
 
 
 def export(packs: DataFrame, folder: str) -> DataFrame:
-    """Each partition of packs as one file folder/pack-N.ndjson.zst on a mounted shared folder; gives (path, n_bytes, n_files).
+    """Each partition of packs as one file folder/pack-N.ndjson.zst; gives (path, n_bytes, n_files).
 
+    folder is a URI of any file system that pyarrow knows (hdfs, s3, gs, file), or a path on a mounted shared one; executors write there themselves.
     A file appears under its name only when complete, so that a task that runs again does no harm.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        os.makedirs(folder, exist_ok=True)
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
         context = TaskContext.get()
-        path = os.path.join(folder, f"pack-{context.partitionId():05d}.ndjson.zst")
+        path = f"{root.rstrip('/')}/pack-{context.partitionId():05d}.ndjson.zst"
         part, files, size = f"{path}.{context.taskAttemptId()}.part", 0, 0
-        with open(part, "wb") as f:
+        with system.open_output_stream(part) as out:
             for batch in batches:
                 for frame, ids in zip(batch.column("frame").to_pylist(), batch.column("file_id").to_pylist()):
-                    size += f.write(concat_frames([frame]))
+                    size += out.write(concat_frames([frame]))
                     files += len(ids)
-        os.replace(part, path)
+        system.move(part, path)
         yield pa.RecordBatch.from_pydict({"path": [path], "n_bytes": [size], "n_files": [files]})
 
     return packs.mapInArrow(write, "path string, n_bytes bigint, n_files bigint")

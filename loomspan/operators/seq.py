@@ -57,6 +57,17 @@ def dense(df: DataFrame) -> DataFrame:
     return scan(df, F.lit(1).cast("bigint"), "sum", "n__").withColumn("pos", F.col("n__") - 1).drop("n__")
 
 
+def placed(df: DataFrame, bin_: Column, *order: Column | str) -> DataFrame:
+    """Positions from 0 by order, of which bin_ must be a coarser form: bins are counted first and only a bin's rows are sorted."""
+    rows = df.withColumn("bin__", bin_)
+    base = rows.groupBy("seq_id", "bin__").agg(F.count(F.lit(1)).alias("n__"))
+    earlier = Window.partitionBy("seq_id").orderBy("bin__").rowsBetween(Window.unboundedPreceding, -1)
+    base = base.select("seq_id", "bin__", F.coalesce(F.sum("n__").over(earlier), F.lit(0)).alias("b__"))
+    within = F.row_number().over(Window.partitionBy("seq_id", "bin__").orderBy(*order)) - 1
+    rows = rows.withColumn("r__", within).join(base, ["seq_id", "bin__"])
+    return rows.withColumn("pos", (F.col("b__") + F.col("r__")).cast("bigint")).drop("bin__", "r__", "b__")
+
+
 def ordered(df: DataFrame, *keys: Column) -> DataFrame:
     """Rows in a new order: positions by keys, ties by the old position."""
     return df.withColumn("pos", F.row_number().over(Window.partitionBy("seq_id").orderBy(*keys, "pos")).cast("bigint") - 1)
@@ -241,10 +252,30 @@ def inversions(df: DataFrame) -> DataFrame:
     the later zeros behind each one are counted by a running sum in the group of equal higher bits. No pair is built.
     """
     bits = df.withColumn("bit__", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    bits = bits.withColumn("high__", F.expr("shiftright(v, bit__ + 1)")).withColumn("one__", F.expr("shiftright(v, bit__) & 1"))
-    before = Window.partitionBy("seq_id", "bit__", "high__").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ones = bits.withColumn("ones__", F.sum("one__").over(before))
-    return reduced(ones, F.sum(F.when(F.col("one__") == 0, F.col("ones__")).otherwise(0)), 0)
+    bits = bits.select("pos", F.struct("seq_id", "bit__", F.expr("shiftright(v, bit__ + 1)").alias("high__")).alias("seq_id"), F.expr("shiftright(v, bit__) & 1").alias("one__"))
+    ones = scan(bits, F.col("one__"), "sum", "ones__")  # in blocks of positions, so that the top bit's group, which is the sequence, is spread
+    return reduced(ones.withColumn("seq_id", F.col("seq_id.seq_id")), F.sum(F.when(F.col("one__") == 0, F.col("ones__")).otherwise(0)), 0)
+
+
+def argmax_first(df: DataFrame) -> DataFrame:
+    """(seq_id, value, pos): the largest value and the first place where it stands."""
+    return df.groupBy("seq_id").agg(F.max(F.struct("v", (-F.col("pos")).alias("p"))).alias("m")).select("seq_id", F.col("m.v").alias("value"), (-F.col("m.p")).alias("pos"))
+
+
+def at(df: DataFrame, k: Column | int, empty: int = 0, every: DataFrame | None = None) -> DataFrame:
+    """(seq_id, value): the value at place k, `empty` out of range."""
+    return reduced(df, F.max(F.when(F.col("pos") == k, F.col("v"))), empty, every)
+
+
+def take_first(df: DataFrame, k: Column | int) -> tuple[DataFrame, DataFrame]:
+    """(the first k, how many are left over as (seq_id, value))."""
+    left = reduced(df, F.count_if(F.col("pos") >= k), 0)
+    return take(df, k), left
+
+
+def walk(df: DataFrame, start: Column, step: Callable[[Column, Column], Column], fin: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(seq_id, value): a state of any type taken along a sequence by step(state, element), then fin(state). No law is asked of it, so a sequence is one row."""
+    return arrays(df).select("seq_id", F.aggregate("xs", start, step, *([fin] if fin else [])).alias("value"))
 
 
 # --- array form: one sequence in a row --------------------------------------------------------------

@@ -1,3 +1,3 @@
-from loomspan.plans import graphs, nested_files, reconciliation, rules, sequences, trees
+from loomspan.plans import expressions, graphs, nested_files, reconciliation, rules, sequences, trees
 
-CORE = [nested_files.R, sequences.R, graphs.R, reconciliation.R, trees.R, rules.R]
+CORE = [nested_files.R, sequences.R, graphs.R, reconciliation.R, trees.R, expressions.R, rules.R]

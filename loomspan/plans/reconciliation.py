@@ -65,6 +65,10 @@ def plain(name: str, f: Callable[[Case], DataFrame], sql: str) -> None:
 # --- decide
 plain("t5_decide_filter", lambda c: recon.accepted(c.c, TAU), "select g, pos, u, v, score from c where score >= 600")
 plain("t5_decide_count", lambda c: c.count(recon.accepted(c.c, TAU)), "select n.g, count(c.g) as value from n left join c on c.g = n.g and score >= 600 group by n.g")
+plain("family_candidate_sum", lambda c: graph._value(c.ids, recon.accepted(c.c, TAU).groupBy("g").agg(F.sum("score").alias("value"))), "select n.g, coalesce(cast(sum(score) as bigint), 0) as value from n left join c on c.g = n.g and score >= 600 group by n.g")
+plain("family_candidate_ids", lambda c: recon.accepted(c.c, TAU).select("g", "pos", "u", "v"), "select g, pos, u, v from c where score >= 600")
+ENDS = "select g, u x from c where score >= 600 union select g, v from c where score >= 600"
+plain("family_candidate_nodes", lambda c: c.count(recon.accepted(c.c, TAU).select("g", F.explode(F.array("u", "v")).alias("x")).distinct()), f"select n.g, count(x) as value from n left join ({ENDS}) using (g) group by n.g")
 plain("t5_decide_normalise", lambda c: c.p, "select * from p")
 plain("t5_decide_drop_known", lambda c: recon.drop_known(c.c.where("u < v"), c.m.select("g", F.col("a").alias("u"), F.col("b").alias("v"))), "select g, u, v, pos, score from c where u < v and not exists (select 1 from m where m.g = c.g and a = u and b = v)")
 ORDER = "select g, pos, u, v, score, row_number() over (partition by g order by score desc, u, v, pos) - 1 as ord from c where score >= 600"

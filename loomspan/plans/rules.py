@@ -45,6 +45,19 @@ R.add("seating_sections", lambda spark, d: seating.sections(guests(spark, d), PO
 R.add("seating_violations", lambda spark, d: seating.violations(g := guests(spark, d), seating.sections(g, POLICY), POLICY))
 
 
+def crowd(spark: SparkSession, d: str) -> DataFrame:
+    """All orders as guests of one chart; customers are their companies."""
+    k = F.col("o_orderkey")
+    name, org = F.concat(F.lit("n"), k), F.when(k % 5 > 0, F.concat(F.lit("c"), "o_custkey"))
+    return table(spark, d, "orders").select(F.lit(1).alias("g"), k.alias("idx"), name.alias("name"), org.alias("org"), (k * 7919 % 7).alias("category"))
+
+
+CROWD = seating.parse("size 5\nlimit ai_lab chips 2\napart big_tech government\norder government ai_lab\navoid c7 c8")
+R.add("seating_large", lambda spark, d: seating.sections(crowd(spark, d), CROWD))
+R.add("seating_posted", lambda spark, d: seating.posted(guests(spark, d), 6), """with t as (select c_mktsegment g, row_number() over (partition by c_mktsegment order by c_custkey) - 1 idx, count(*) over (partition by c_mktsegment) // 2 h from customer)
+select g, idx, (case when idx >= h and idx < 2 * h then 3 * h - 1 - idx else idx end) // 6 as section from t""")
+
+
 def seats(spark: SparkSession, d: str) -> DataFrame:
     return guests(spark, d).select("g", F.col("idx").alias("pos"), "idx", (F.col("idx") * 7919 % 32).alias("rank"), (F.col("category") + 1).alias("category"), F.when(F.col("idx") % 3 == 0, 0).otherwise(F.col("idx") % 19 + 1).alias("company"))
 

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan import u24
-from loomspan.operators import seq
+from loomspan.operators import folds, seq
 from loomspan.plans.registry import Registry
 from loomspan.sources.tables import table
 
@@ -31,9 +31,9 @@ def sequences(spark: SparkSession, d: str, which: str = "s") -> DataFrame:
     rows = table(spark, d, "events").where("user_id is not null and value is not null")
     if which != "s":
         rows = rows.where(F.col("event_id") % 2 == (0 if which == "x" else 1))
-    place = F.row_number().over(Window.partitionBy("seq_id").orderBy("ts", "event_id")) - 1
     rows = rows.select(F.col("user_id").alias("seq_id"), "ts", "event_id", u24.wrap(F.round(F.col("value") * 100).cast("bigint")).alias("v"))
-    return rows.select("seq_id", place.cast("bigint").alias("pos"), "v")
+    day = F.coalesce(F.to_date("ts"), F.lit("0001-01-01").cast("date"))  # rows without a time come first
+    return seq.placed(rows, day, "ts", "event_id").select("seq_id", "pos", "v")
 
 
 def numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +64,7 @@ def scalar(name: str, f: Callable[[Column, Column, Column, Column], Column], sql
 
 
 def product(xs: DataFrame) -> DataFrame:
-    return seq.arrays(xs).select("seq_id", F.aggregate("xs", F.lit(1).cast("bigint"), lambda a, x: u24.mul(a, x)).alias("value"))
+    return folds.trusted(xs, "product")
 
 
 # --- T1: arithmetic and lists -------------------------------------------------------------------------
@@ -123,6 +123,14 @@ for name, (f, sql) in TWO.items():
     listed(name, f, sql, *(("x", "y", "s") if name == "t2_merge3" else ("x", "y")))
 
 
+ZIPS = {
+    "sub": (u24.sub, "(x.v - y.v) & 16777215"), "mul": (u24.mul, "(x.v * y.v) & 16777215"), "max": (F.greatest, "greatest(x.v, y.v)"), "min": (F.least, "least(x.v, y.v)"),
+    "xor": (lambda a, b: a.bitwiseXOR(b), "xor(x.v, y.v)"), "gt": (lambda a, b: (a > b).cast("bigint"), "cast(x.v > y.v as bigint)"),
+}
+for name, (f, sql) in ZIPS.items():
+    listed(f"family_zip_{name}", lambda x, y, f=f: seq.zipped(x, y, f), f"select seq_id, pos, {sql} as v from x join y using (seq_id, pos)", "x", "y")
+
+
 @R.query("t2_partition", PRELUDE + "select seq_id, cast(v >= seq_id * 523 % 40000 as int) as side, row_number() over (partition by seq_id, v >= seq_id * 523 % 40000 order by pos) - 1 as pos, v from s")
 def t2_partition(spark: SparkSession, d: str) -> DataFrame:
     """Both parts of each sequence in one result, side 0 below the pivot and 1 from it on."""
@@ -190,6 +198,7 @@ SCALARS = {
     "family_trailing_zeros": (lambda a, b, c, m: u24.trailing_zeros(a), "case when a = 0 then 24 else length(bin(a)) - length(rtrim(bin(a), '0')) end"),
     "family_triangular": (lambda a, b, c, m: u24.triangular(a), "(a * (a + 1) // 2) & 16777215"),
     "family_digit_sum": (lambda a, b, c, m: u24.digit_sum(b, 10), "list_sum(list_transform(string_split(b::varchar, ''), lambda z: z::bigint))"),
+    **{f"family_digit_sum_{base}": (lambda a, b, c, m, base=base: u24.digit_sum(b, base), "list_sum([" + ", ".join(f"b // {base ** i} % {base}" for i in range(25)) + "])") for base in (2, 3, 5, 7, 8, 16)},
     "u24_add": (lambda a, b, c, m: u24.add(a * 9999 % 16777216, b), "(a * 9999 % 16777216 + b) & 16777215"),
     "u24_sub": (lambda a, b, c, m: u24.sub(a, b), "(a - b) & 16777215"),
     "u24_mul": (lambda a, b, c, m: u24.mul(a, b), "(a * b) & 16777215"),

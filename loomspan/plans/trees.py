@@ -74,53 +74,19 @@ b as (select doc_id, greatest(-min(h), 0) bad, greatest(max(h), 0) deepest, max_
 p as (select q.doc_id, coalesce(bad, 0) bad, coalesce(total, 0) + coalesce(bad, 0) as open, coalesce(deepest, 0) deepest, coalesce((select max(i) from s where s.doc_id = q.doc_id and h = 0 and (fall is null or i < fall)), 0) prefix from q left join b using (doc_id)) """
 for name, columns in (("t4_paren_unmatched", ("bad", "open")), ("t4_paren_depth", ("deepest",)), ("t4_paren_prefix", ("prefix",))):
     R.add(name, lambda spark, d, columns=columns: parens(spark, d).select("doc_id", lang.paren_profile(F.col("text")).alias("p")).select("doc_id", *[f"p.{c}" for c in columns]), PAREN + f"select doc_id, {', '.join(f'cast({c} as bigint) as {c}' for c in columns)} from p")
-R.add("t4_paren_match", lambda spark, d: lang.each(parens(spark, d), ["doc_id"], "text", lang.matches, "partner", "array<bigint>"))
-R.add("t4_brackets3", lambda spark, d: lang.each(parens(spark, d, r"[^()\[\]{}]"), ["doc_id"], "text", lang.bracket_error))
-
-# --- arithmetic texts of orders
-TEXT = "concat('(', o_orderkey % 100, ' + ', o_custkey, ')*', o_orderkey % 7, '+ ', o_custkey % 1000, '*(', o_orderkey, '+1)')"
-VALUE = "((o_orderkey % 100 + o_custkey) * (o_orderkey % 7) + o_custkey % 1000 * (o_orderkey + 1)) & 16777215"
-
-
-def texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(TEXT).alias("text"))
-
-
-def worded(name: str, f: Callable, kind: str = "bigint", sql: str | None = None) -> None:
-    R.add(name, lambda spark, d: lang.each(texts(spark, d), ["id"], "text", f, "value", kind), None if sql is None else f"select o_orderkey as id, {sql} as value from orders")
-
-
-flat = lambda pairs: [x for p in pairs for x in p]
-worded("t4_tokenize", lambda s: flat(lang.tokens(s)), "array<bigint>", "[2, 40, 0, o_orderkey % 100, 1, 43, 0, o_custkey, 2, 41, 1, 42, 0, o_orderkey % 7, 1, 43, 0, o_custkey % 1000, 1, 42, 2, 40, 0, o_orderkey, 1, 43, 0, 1, 2, 41]")
-worded("t4_to_rpn", lambda s: flat(lang.rpn(s)), "array<bigint>", "[0, o_orderkey % 100, 0, o_custkey, 1, 43, 0, o_orderkey % 7, 1, 42, 0, o_custkey % 1000, 0, o_orderkey, 0, 1, 1, 43, 1, 42, 1, 43]")
-worded("t4_eval_str", lambda s: lang.evaluate(lang.parse(s)), "bigint", VALUE)
-worded("t4_eval_rpn", lambda s: lang.eval_rpn(lang.rpn(s)), "bigint", VALUE)
-worded("t4_eval_ast", lambda s: lang.evaluate(lang.parse(s)), "bigint", VALUE)
-worded("t4_parse", lambda s: str(lang.parse(s)), "string", "concat('(1, (2, (1, (0, ', o_orderkey % 100, '), (0, ', o_custkey, ')), (0, ', o_orderkey % 7, ')), (2, (0, ', o_custkey % 1000, '), (1, (0, ', o_orderkey, '), (0, 1))))')")
-worded("t4_print", lambda s: lang.printed(lang.parse(s)), "string", "concat('(((', o_orderkey % 100, '+', o_custkey, ')*', o_orderkey % 7, ')+(', o_custkey % 1000, '*(', o_orderkey, '+1)))')")
-worded("t4_expr_depth", lambda s: lang.depth(lang.parse(s)), "bigint", "4::bigint")
-
-
-def with_variable(s: str) -> tuple:
-    """The text's tree with every leaf below 50 a variable."""
-    return lang.folded(lang.parse(s), lambda n, c: ((3, n[1] % 3) if n[1] < 50 else n) if n[0] == 0 else (n[0], *c))
-
-
-worded("t4_fold", lambda s: lang.printed(lang.simplified(with_variable(s))), "string")
-worded("t4_deriv", lambda s: lang.printed(lang.derivative(with_variable(s))), "string")
-
-
-def formula(bits: int, depth: int = 4) -> tuple:
-    """A formula that a number spells."""
-    if depth == 0:
-        return ((2, bits % 3), (2, bits % 3), (bits & 1,))[bits % 3 if bits % 5 == 0 else 0]
-    if bits % 4 == 0:
-        return (3, formula(bits // 4, depth - 1))
-    return (4 + bits % 2, formula(bits // 3, depth - 1), formula(bits // 7, depth - 1))
-
-
-for name, f, kind in (("t4_sat_count", lambda x: lang.models(formula(x)), "bigint"), ("t4_nnf", lambda x: str(lang.nnf(formula(x))), "string")):
-    R.add(name, lambda spark, d, f=f, kind=kind: lang.each(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 7919 + F.col("o_custkey")).alias("x")), ["id"], "x", f, "value", kind))
+# opening and closing ones of a level take turns, so a partner is the next or the one before; none without a partner where all before it fit
+MATCH = PAREN + """, l as (select s.doc_id, i, substr(x, i, 1) = '(' o, h + cast(substr(x, i, 1) = ')' as int) lv from s join q using (doc_id)),
+w as (select doc_id, i, case when o then coalesce(lead(i) over t, 1) else lag(i) over t end - 1 j from l window t as (partition by doc_id, lv order by i))
+select p.doc_id, case when bad = 0 then coalesce((select list(cast(j as bigint) order by i) from w where w.doc_id = p.doc_id), []) end as partner from p"""
+R.add("t4_paren_match", lambda spark, d: lang.each(parens(spark, d), ["doc_id"], "text", lang.matches, "partner", "array<bigint>"), MATCH)
+# what is open so far, or E and the place of the first fault
+BRACKETS = r"""with q as (select doc_id, regexp_replace(text, '[^()\[\]{}]', '', 'g') x from documents where text is not null),
+z as (select doc_id, x, list_reduce(list_prepend('', string_split(x, '')), lambda a, c, i: case when starts_with(a, 'E') or c = '' then a when c in ('(', '[', '{') then a || c
+  when right(a, 1) = case c when ')' then '(' when ']' then '[' else '{' end then left(a, length(a) - 1) else 'E' || i end) e from q)
+select doc_id, cast(case when x = '' or e = '' then 0 when starts_with(e, 'E') then substr(e, 2)::bigint else length(x) + 1 end as bigint) as value from z"""
+R.add("t4_brackets3", lambda spark, d: lang.each(parens(spark, d, r"[^()\[\]{}]"), ["doc_id"], "text", lang.bracket_error), BRACKETS)
+
+# --- machines
 R.add("t4_stack_vm", lambda spark, d: lang.each(seq.arrays(sequences(spark, d)), ["seq_id"], "xs", lambda xs: lang.stack_machine([(0, 1), (0, 2)] + [((0, 1, 2, 3, 4, 7)[x % 6] if i % 3 else 0, x % 100) for i, x in enumerate(xs)])))
 R.add("t4_regmachine", lambda spark, d: seq.arrays(sequences(spark, d)).select("seq_id", lang.registers(F.transform("xs", lambda x: F.struct((x % 5).alias("op"), (F.call_function("div", x, F.lit(5)) % 4).alias("a"), (F.call_function("div", x, F.lit(20)) % 4).alias("b")))).alias("value")))
 
@@ -164,3 +130,52 @@ R.add("keyed_lookup", lambda spark, d: keyed.lookup(table(spark, d, "lineitem").
 R.add("keyed_selected", lambda spark, d: keyed.selected(keyed.reduce_by_key(moves(spark, d), "inc"), lambda v: v > 30), MOVES + "select row_number() over (order by key) - 1 as pos, key, value from (select key, count(*) as value from m group by key) where value > 30")
 R.add("keyed_occurrences", lambda spark, d: keyed.occurrences(moves(spark, d), ["key"], ["pos", "value"]), MOVES + "select key, value, pos, row_number() over (partition by key order by pos, value) - 1 as occ from m")
 R.add("keyed_folded_back", lambda spark, d: keyed.folded_back(sequences(spark, d).withColumnRenamed("pos", "key").withColumnRenamed("v", "value"), "seq_id", F.lit(0).cast("bigint"), lambda a, x: wrap(a * 3 + x)), PRELUDE + "select seq_id, list_reduce(list(v order by pos desc), lambda a, b: (a * 3 + b) & 16777215, 0::bigint) as value from s group by seq_id")
+
+VALUES = "v as (select key, (key * 31) & 16777215 as value from p) "
+given = lambda spark, d: domain(spark, d).select("key", wrap(F.col("key") * 31).alias("value"))
+asked = lambda spark, d: table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("reply"))
+for name, sql, none in (("xor", "bit_xor(value)", 0), ("and", "bit_and(value)", 16777215), ("mul", "list_reduce(list(value), lambda a, b: (a * b) & 16777215, 1::bigint)", 1), ("dec", "-count(value) & 16777215", 0)):
+    # no key of part is left out by lineitem, so one more brings in the identity
+    R.add(
+        f"keyed_reduce_{name}", lambda spark, d, name=name: keyed.reduce_by_key(moves(spark, d), name, domain(spark, d).union(spark.range(1).selectExpr("-1"))),
+        MOVES + f"select o.key, cast(coalesce({sql if name != 'mul' else 'case when count(value) > 0 then ' + sql + ' end'}, {none}) as bigint) as value from (from p union all select -1) o left join m using (key) group by o.key",
+    )
+R.add("keyed_applied", lambda spark, d: keyed.applied(given(spark, d), moves(spark, d), lambda v, p: wrap(v * 3 + p)), MOVES + ", " + VALUES + "select key, list_reduce(list_prepend(any_value(v.value), list(m.value order by pos, m.value)), lambda a, b: (a * 3 + b) & 16777215) as value from v join m using (key) group by key")
+R.add("keyed_peeked", lambda spark, d: keyed.peeked(given(spark, d), asked(spark, d))[1], MOVES + ", " + VALUES + "select key, pos as reply, v.value from m join v using (key)")
+R.add("keyed_delivered", lambda spark, d: keyed.delivered(given(spark, d).where("key % 3 = 0"), asked(spark, d)), MOVES + ", " + VALUES + "select pos as reply, v.value from m join v using (key) where key % 3 = 0")
+R.add("keyed_delivered_keep", lambda spark, d: keyed.delivered(given(spark, d).where("key % 3 = 0"), asked(spark, d), keep=True), MOVES + ", " + VALUES + "select key, pos as reply, v.value from m join v using (key) where key % 3 = 0 union all select key, null, value from v where key % 3 = 0")
+
+
+@R.query("keyed_mapreduce", MOVES + ", " + VALUES + "select key, value + 1 as value from v union all select null, bit_xor(value * key) from v")
+def keyed_mapreduce(spark: SparkSession, d: str) -> DataFrame:
+    """The new table, and the combined result as a row without key."""
+    new, result = keyed.mapreduce(given(spark, d), lambda k, v: (v + 1, v * k), "xor")
+    return new.unionByName(result.select(F.lit(None).cast("bigint").alias("key"), "value"))
+
+
+def tables(spark: SparkSession, d: str) -> DataFrame:
+    return given(spark, d).select((F.col("key") % 50).alias("t"), (F.col("key") % 700).alias("key"), "value")
+
+
+TABLES = MOVES + ", " + VALUES + ", tb as (select key % 50 as t, key % 700 as key, value from v) "
+R.add("keyed_broadcast_update", lambda spark, d: keyed.broadcast_update(tables(spark, d), 5, lambda v: wrap(v + 7)), TABLES + "select t, key, case when key = 5 then (value + 7) & 16777215 else value end as value from tb union all select distinct t, 5, 7 from tb where t not in (select t from tb where key = 5)")
+R.add("keyed_selected_emit", lambda spark, d: keyed.selected(keyed.reduce_by_key(moves(spark, d), "inc"), lambda v: v > 30, lambda k, v: wrap(k * 100 + v)), MOVES + "select row_number() over (order by key) - 1 as pos, key, (key * 100 + value) & 16777215 as value from (select key, count(*) as value from m group by key) where value > 30")
+
+# --- folds of one's own, walks and places
+HEIGHT = "(select seq_id, pos, sum(case when v % 2 = 0 then 1 else -1 end) over (partition by seq_id order by pos) h from s)"
+R.add("fold_trusted_heights", lambda spark, d: folds.trusted(sequences(spark, d), "heights"), PRELUDE + f"select seq_id, [cast(max_by(h, pos) as bigint), cast(least(min(h), 0) as bigint), cast(greatest(max(h), 0) as bigint)] as value from {HEIGHT} group by seq_id")
+R.add("sequence_argmax_first", lambda spark, d: seq.argmax_first(sequences(spark, d)), PRELUDE + "select seq_id, max(v) as value, min_by(pos, (-v, pos)) as pos from s group by seq_id")
+R.add("sequence_at", lambda spark, d: seq.at(sequences(spark, d), F.col("seq_id") % 40, 7), PRELUDE + "select seq_id, coalesce(max(v) filter (pos = seq_id % 40), 7) as value from s group by seq_id")
+R.add("sequence_left_over", lambda spark, d: seq.take_first(sequences(spark, d), F.col("seq_id") % 90)[1], PRELUDE + "select seq_id, count(*) filter (pos >= seq_id % 90) as value from s group by seq_id")
+
+
+@R.query("sequence_walk", PRELUDE + "select seq_id, list_reduce(list_prepend([0::bigint, 0::bigint], list([v, 0::bigint] order by pos)), lambda a, b: case when a[1] + b[1] > 50000 then [0::bigint, a[2] + 1] else [a[1] + b[1], a[2]] end)[2] as value from s group by seq_id")
+def sequence_walk(spark: SparkSession, d: str) -> DataFrame:
+    """How often a running sum goes above 50,000 and starts anew."""
+    state = lambda a, n: F.struct(a.cast("bigint").alias("sum"), n.cast("bigint").alias("n"))
+    step = lambda s, x: F.when(s["sum"] + x > 50000, state(F.lit(0), s["n"] + 1)).otherwise(state(s["sum"] + x, s["n"]))
+    return seq.walk(sequences(spark, d), state(F.lit(0), F.lit(0)), step, lambda s: s["n"])
+
+
+for order, by in (("in", "v"), ("pre", "path"), ("post", "path || '3'")):
+    R.add(f"family_{order}order_filtered", lambda spark, d, order=order: seq.kept(tree.listed(nodes(spark, d), order).withColumnRenamed("t", "seq_id"), lambda v: v % 3 == 1).select("seq_id", "pos", "v"), NODES.format(d="d") + f"select t as seq_id, row_number() over (partition by t order by {by}) - 1 as pos, v from nd where v % 3 = 1")

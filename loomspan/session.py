@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -39,30 +41,41 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="loomspan-")
+        atexit.register(shutil.rmtree, _OWN_DIR[app], ignore_errors=True)
     return _OWN_DIR[app]
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+#: Tables written so far by each application, to be deleted by clear.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def written(df: DataFrame, name: str, folder: str | None = None, **options: str) -> DataFrame:
+    """df written as Parquet to the shared folder, or to folder, and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = folder
+    if path is None:
+        path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(True)
+def clear(spark: SparkSession) -> int:
+    """Deletes this application's intermediate tables and tells how many; for when no DataFrame that stands on them is needed any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to executors whose Python path lacks it."""
+    """Sends this package to executors whose Python path lacks it; to be called once on such a cluster."""
     root = Path(__file__).resolve().parent
-    out = Path(tempfile.mkdtemp(prefix="loomspan-zip-")) / "loomspan.zip"
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in root.rglob("*.py"):
-            z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(out))
+    with tempfile.TemporaryDirectory() as folder:  # of the driver, which serves it
+        out = Path(folder) / f"{root.name}.zip"
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in root.rglob("*.py"):
+                z.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(out))
