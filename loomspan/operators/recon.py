@@ -210,7 +210,7 @@ def decisions(nodes: DataFrame, pairs: DataFrame, must_not_link: DataFrame, cap:
 
 
 def _flips(cap: int | None):  # noqa: ANN202
-    """Kernel as _merge's, with whether each must-not-link refusal turns into something else when the pair changes places with one that shares a node and has another score."""
+    """Kernel as _merge's, with whether each must-not-link refusal turns into a merge or a noop when the pair changes places with one that shares a node and has another score."""
     plain = _merge(cap)
 
     def kernel(rows: list[tuple]) -> list[tuple]:
@@ -228,7 +228,7 @@ def _flips(cap: int | None):  # noqa: ANN202
                         continue
                     changed = list(links)
                     changed[i], changed[j] = links[j], links[i]
-                    if plain(walls + changed)[j][3] != row[3]:
+                    if plain(walls + changed)[j][3] in ("merge", "noop"):
                         flips = True
                         break
             out.append((*row, flips))

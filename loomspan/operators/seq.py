@@ -32,9 +32,9 @@ def scan(df: DataFrame, value: Column, kind: str, out: str = "v") -> DataFrame:
     rows = _blocks(df.withColumn("x__", value))
     whole = rows.groupBy("seq_id", "block").agg(aggregate("x__").alias("t__"))
     earlier = Window.partitionBy("seq_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = whole.select("seq_id", "block", aggregate("t__").over(earlier).alias("b__"))
+    base = whole.select("seq_id", "block", aggregate("t__").over(earlier).alias("b__")).where("b__ is not null")  # few: none for a sequence of one block
     own = aggregate("x__").over(_by_block().rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("o__", own).join(base, ["seq_id", "block"])
+    rows = rows.withColumn("o__", own).join(base, ["seq_id", "block"], "left")
     o, b = F.col("o__"), F.col("b__")
     both = {"sum": o + b, "max": F.greatest(o, b), "min": F.least(o, b), "xor": o.bitwiseXOR(b)}[kind]
     return rows.withColumn(out, F.when(b.isNull(), o).when(o.isNull(), b).otherwise(both)).drop("x__", "o__", "b__", "block")
