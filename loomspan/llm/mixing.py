@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.overlap import source_name
 
-#: Bins to a doubling of the key. Keys of 64-bit draws and weights of 0.1 to 1 span at most 62 doublings, which bounds the table of bin sums.
+#: Bins to a doubling of the key. Keys of 53-bit draws and weights of 0.1 to 1 span at most 62 doublings, which bounds the table of bin sums.
 BINS = 1024
 
 
@@ -32,7 +32,7 @@ def exponential_key(ident: Column, weight: Column, seed: int) -> Column:
 def ordered(documents: DataFrame, seed: int = 0, bins: int = BINS) -> DataFrame:
     """(doc_id, source, n_tokens, before): tokens of the same source that come before a document in the order of keys.
 
-    documents: doc_id, source (named), n_tokens, weight. Rows without source or tokens, or with a weight that is null or not above 0, take no part; equal keys go by doc_id.
+    documents: doc_id, source (named), n_tokens, weight. Rows without source or tokens, or with a weight that is null or not above 0, take no part; equal keys go by doc_id, repeated ids by size.
     """
     rows = documents.where((F.col("n_tokens") > 0) & F.col("source").isNotNull() & (F.col("weight") > 0))
     rows = rows.select("doc_id", "source", "n_tokens", "weight", exponential_key(F.col("doc_id"), F.col("weight"), seed).alias("key"))
@@ -41,7 +41,7 @@ def ordered(documents: DataFrame, seed: int = 0, bins: int = BINS) -> DataFrame:
     sums = rows.groupBy("source", "bin").agg(F.sum("n_tokens").alias("in_bin"))
     earlier = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "bin", F.coalesce(F.sum("in_bin").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "bin").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("upto", F.sum("n_tokens").over(within)).join(sums, ["source", "bin"])
     return placed.select("doc_id", "source", "n_tokens", (F.col("base") + F.col("upto") - F.col("n_tokens")).alias("before"))
 

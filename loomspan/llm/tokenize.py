@@ -401,7 +401,7 @@ def ship(spark: SparkSession, vocabulary: str, words: list[bytes] | None = None)
     The lexicon holds the vocabulary's own entries, which its makers found frequent, and `words`, a corpus's own.
     Whatever words are held, the ids are the same. Gives the two files' names.
     """
-    key = (spark.sparkContext.applicationId, vocabulary, None if words is None else hash(tuple(words)))
+    key = (spark.sparkContext.applicationId, vocabulary, None if words is None else hash(tuple(sorted(words))))
     if key not in _SHIPPED:
         ranks = read_ranks(vocabulary)
         with open(vocabulary, "rb") as f:

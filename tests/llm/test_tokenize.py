@@ -3,10 +3,10 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-import tiktoken
 
 from loomspan.llm import tokenize as T
 
+tiktoken = pytest.importorskip("tiktoken")
 public = pytest.importorskip("public_tokenizers")
 
 
