@@ -75,7 +75,7 @@ def pack(files: DataFrame, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     return files.mapInArrow(lambda batches: _pack(batches, frame_bytes), PACK_SCHEMA)
 
 
-def compact(files: DataFrame, folder: str | None = None, frame_bytes: int = FRAME_BYTES) -> DataFrame:
+def compact(files: DataFrame, frame_bytes: int = FRAME_BYTES, folder: str | None = None) -> DataFrame:
     """The packs of files, written to folder, which must not exist yet; frames are merged into few files by adaptive rebalancing.
 
     Without a folder they are an intermediate table of the shared folder. Read them again by spark.read.parquet(folder).

@@ -78,3 +78,9 @@ def test_export(spark, tmp_path):
     assert sum(r.n_files for r in out) == 3
     raw = b"".join(zstandard.ZstdDecompressor().stream_reader((tmp_path / "packs" / p).read_bytes(), read_across_frames=True).read() for p in sorted(x.name for x in (tmp_path / "packs").iterdir()))
     assert sorted(raw.split()) == [b"a", b"b", b"c"]
+
+
+def test_packs_with_a_destination(spark, tmp_path):
+    where = str(tmp_path / "packs")
+    C.compact(files(spark, "a\n", "", None), folder=where)
+    assert sorted(r.content for r in C.unpack(spark.read.parquet(where)).collect() if r.content is not None) == [b"", b"a\n"]
