@@ -40,8 +40,24 @@ def guests(spark: SparkSession, d: str) -> DataFrame:
 
 
 POLICY = seating.parse("size 5\ntogether investor\nlimit ai_lab chips 2\napart big_tech government\norder government ai_lab\navoid FRANCE-2 JAPAN-3")
-R.add("seating_units", lambda spark, d: seating.units(guests(spark, d), POLICY).select("g", "idx", "unit", "n_unit", "rank", "place"))
-R.add("seating_sections", lambda spark, d: seating.sections(guests(spark, d), POLICY))
+# guest by guest: the section so far as its counts, and whether the next guest, or the unit it opens, may join
+UNITS = """with recursive gs as (select c_mktsegment g, row_number() over (partition by c_mktsegment order by c_custkey) - 1 idx, c_custkey % 7 category, case when c_custkey % 3 > 0 then n_name || '-' || (c_custkey % 7) end org
+  from customer join nation on c_nationkey = n_nationkey),
+u as (select *, case when category = 4 then min(idx) over (partition by g, category) else idx end unit from gs),
+r as (select *, count(*) over (partition by g, unit) n_unit, case min_by(category, idx) over (partition by g, unit) when 5 then 0 when 0 then 1 else 2 end as rank from u),
+w as (select *, row_number() over (partition by g order by rank, unit, idx) - 1 as place, coalesce(org = 'FRANCE-2', false) x, coalesce(org = 'JAPAN-3', false) y from r)
+"""
+NEXT_FIT = UNITS + """, n as (select *, case when idx = unit then n_unit else 1 end ahead, case when idx = unit then bool_or(x) over (partition by g, unit) else x end cx, case when idx = unit then bool_or(y) over (partition by g, unit) else y end cy from w),
+st(g, place, section, held, lim, tech, gov, x, y) as (
+  select g, place, 0::bigint, 1, (category in (0, 2))::int, (category = 1)::int, (category = 5)::int, x, y from n where place = 0
+  union all
+  select g, place, case when fits then section else section + 1 end, case when fits then held else 0 end + 1, case when fits then lim else 0 end + (category in (0, 2))::int,
+    case when fits then tech else 0 end + (category = 1)::int, case when fits then gov else 0 end + (category = 5)::int, fits and sx or x, fits and sy or y
+  from (select n.*, section, held, lim, tech, gov, st.x sx, st.y sy, held + ahead <= 5 and not (category in (0, 2) and lim + ahead > 2) and not (category = 1 and gov > 0) and not (category = 5 and tech > 0) and not (cx and st.y) and not (cy and st.x) fits
+    from st join n on n.g = st.g and n.place = st.place + 1))
+"""
+R.add("seating_units", lambda spark, d: seating.units(guests(spark, d), POLICY).select("g", "idx", "unit", "n_unit", "rank", "place"), UNITS + "select g, idx, unit, n_unit, rank, place from w")
+R.add("seating_sections", lambda spark, d: seating.sections(guests(spark, d), POLICY), NEXT_FIT + "select st.g, n.idx, st.section from st join n using (g, place)")
 R.add("seating_violations", lambda spark, d: seating.violations(g := guests(spark, d), seating.sections(g, POLICY), POLICY))
 
 
