@@ -119,7 +119,7 @@ def from_sorted(rows: DataFrame) -> DataFrame:
         path = F.when(here, s["path"]).when(left, F.concat(s["path"], F.lit("0"))).otherwise(F.concat(s["path"], F.lit("2")))
         return F.struct(F.when(here | left, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(~here & left, mid).otherwise(s["hi"]).alias("hi"), path.alias("path"), here.alias("done"))
 
-    return rows.join(size, "t").select("t", F.aggregate(F.sequence(F.lit(1), F.lit(48)), start, step)["path"].alias("path"), "v")
+    return rows.join(size, "t").select("t", F.aggregate(F.sequence(F.lit(1), F.length(F.bin("n"))), start, step)["path"].alias("path"), "v")
 
 
 def kth(nodes: DataFrame, k: Column) -> DataFrame:
